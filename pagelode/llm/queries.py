@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import language_id, mixing, packing, quality_rules, simhash, url_filters
+from pagelode.llm import language_id, mixing, packing, quality_classifier, quality_rules, simhash, spotsigs, token_counts, url_filters, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_documents(spark, sf_dir))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_pages(spark, sf_dir).select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -26,6 +30,18 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(_documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
@@ -50,8 +66,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_spotsigs": op5_spotsigs,
+    "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
@@ -120,4 +140,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": _URLS, "op3_mixing": _MIX, "op9_quality_rules": _RULES}
+_WARC = r"""
+WITH d AS (SELECT page_id, sha1(coalesce(html, '')) AS hex, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31) + 1)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM l
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filters": _URLS, "op3_mixing": _MIX, "op4_warc": _WARC, "op9_quality_rules": _RULES}
