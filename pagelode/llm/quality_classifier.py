@@ -15,15 +15,17 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import texts_in, words_of
+from pagelode.llm.common import ASCII_UPPER, texts_in, words_of
 
 FIT_ROWS = 4000
 WIDTH = 1 << 13
+ENDS, SHARES = 256, 33  # places for word ends and for shares of the text
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "der", "die", "und", "das", "den", "le", "la", "de", "et", "les", "que", "el", "los", "y", "en", "un")
 
 #: What each labeller votes: 2 good, 1 bad, 0 abstains; over n (words), and shares of it.
@@ -33,7 +35,8 @@ LABELLERS: dict[str, str] = {
     "stop_words": "case when n < 20 then 0 when stops >= 3 then 2 when stops = 0 then 1 else 0 end",
     "variety": "case when n < 50 then 0 when distinct < 0.12 * n then 1 when distinct > 0.3 * n then 2 else 0 end",
     "word_length": "case when n < 5 then 0 when chars < 2.5 * n or chars > 14 * n then 1 when chars between 3 * n and 9 * n then 2 else 0 end",
-    "bars": "case when n = 0 then 0 when bars > 0.05 * n then 1 else 0 end",
+    "stutter": "case when n < 5 then 0 when stutters > 0.15 * n then 1 when stutters < 0.03 * n then 2 else 0 end",
+    "shouting": "case when chars < 20 then 0 when upper > 0.3 * chars then 1 when upper < 0.15 * chars then 2 else 0 end",
     "ending": "case when last rlike '[.!?]$' then 2 when n > 0 and last rlike '[#$%&*|<>]$' then 1 else 0 end",
     "sentences": "case when n < 20 then 0 when stopped = 0 or n > 120 * stopped then 1 when n between 2 * stopped and 50 * stopped then 2 else 0 end",
 }
@@ -49,7 +52,8 @@ def votes(docs: DataFrame) -> DataFrame:
         "_m",
         F.struct(
             F.size("_w").alias("n"), lost("#*$%&|<>").alias("symbols"), F.size(F.array_intersect("_d", F.array(*map(F.lit, STOP_WORDS)))).alias("stops"),
-            F.size("_d").alias("distinct"), F.length(F.array_join("_w", "")).alias("chars"), lost("|").alias("bars"), F.get("_w", F.size("_w") - 1).alias("last"),
+            F.size("_d").alias("distinct"), F.length(F.array_join("_w", "")).alias("chars"), lost(ASCII_UPPER).alias("upper"),
+            F.size(F.filter("_w", lambda x, i: F.coalesce(F.get("_w", i + 1) == x, F.lit(False)))).alias("stutters"), F.get("_w", F.size("_w") - 1).alias("last"),
             lost(".!?").alias("stopped"),
         ),
     ).drop("_t", "_w", "_d")
@@ -62,7 +66,7 @@ def votes(docs: DataFrame) -> DataFrame:
 def _within(rule: str) -> str:
     import re
 
-    return re.sub(r"\b(n|symbols|stops|distinct|chars|bars|last|stopped)\b", r"_m.\1", rule)
+    return re.sub(r"\b(n|symbols|stops|distinct|chars|upper|stutters|last|stopped)\b", r"_m.\1", rule)
 
 
 def digits(code: int) -> list[int]:
@@ -99,17 +103,22 @@ def estimate(patterns: dict[int, int], rounds: int = 200):
 def features(text: str | None):
     """(places, values) of the hashed features of a whole text, with unit length."""
     from collections import Counter
+    from operator import eq
     from zlib import crc32
 
     import numpy as np
 
-    words = (text or "").encode().split()
+    raw = (text or "").encode()
+    words = raw.split()
     seen = Counter(words)
     ends = Counter(w[-1:] for w in words)
     if not seen:
         return np.empty(0, np.int64), np.empty(0)
-    places = [crc32(w) % (WIDTH - 256) for w in seen] + [WIDTH - 256 + e[0] for e in ends]
+    n, start = len(words), WIDTH - ENDS - SHARES
+    shares = (sum(map(eq, words, words[1:])) / n, (len(raw) - len(raw.translate(None, ASCII_UPPER.encode()))) / len(raw), len(seen) / n)
+    places = [crc32(w) % start for w in seen] + [start + 11 * k + round(10 * x) for k, x in enumerate(shares)] + [WIDTH - ENDS + e[0] for e in ends]
     values = np.concatenate([np.log1p(np.fromiter(seen.values(), float, len(seen))), 3 * np.log1p(np.fromiter(ends.values(), float, len(ends)))])
+    values = np.insert(values, len(seen), [0.5 * np.sqrt(values @ values)] * len(shares))
     return np.array(places, np.int64), values / np.sqrt(values @ values)
 
 
@@ -138,7 +147,7 @@ def classify(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     rows = votes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     patterns = {r["_votes"]: r["n"] for r in rows.groupBy("_votes").agg(F.count("*").alias("n")).collect()}  # at most PATTERNS rows
     post, _ = estimate(patterns)
-    by_code = F.array(*[F.lit(float(post.get(c, 0.5))) for c in range(PATTERNS)])
+    by_code = F.from_json(F.lit(json.dumps([post.get(c, 0.5) for c in range(PATTERNS)])), "array<double>")
     labelled = rows.select("doc_id", "text", "_votes", F.get(by_code, F.col("_votes")).alias("posterior"))
     weights = docs.sparkSession.sparkContext.broadcast(_fitted(labelled, sum(patterns.values())))  # WIDTH + 1 numbers
 

@@ -28,8 +28,9 @@ RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > n_words",
     "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 20 * n_words)",
     "repeated_lines": "2 * n_dup_lines > n_lines",
-    "digits": "10 * n_digits > 3 * word_chars",
+    "digits": "2 * n_digits > word_chars",
     "cut_lines": "10 * n_cut_lines > 3 * n_lines",
+    "stutter": "10 * n_stutters > 3 * n_words",
 }
 #: Rules of each policy version; the first two are part of every policy.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -37,7 +38,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "v1": ("few_words", "repeated_windows", "symbols", "word_length"),
     "v2": tuple(RULES),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_cut_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_cut_lines", "n_stutters")
 
 
 def policy_mask(version: str) -> int:
@@ -83,6 +84,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
             F.size("_lines").cast("long").alias("n_lines"),
             without("0123456789").cast("long").alias("n_digits"),
             F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("long").alias("n_cut_lines"),
+            F.size(F.filter("_w", lambda x, i: F.coalesce(F.get("_w", i + 1) == x, F.lit(False)))).cast("long").alias("n_stutters"),
         ),
     ).drop("_t", "_w", "_n", "_lines", "_p")
 

@@ -131,12 +131,13 @@ m AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
          length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS n_digits,
-         len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_cut
+         len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS n_cut,
+         len(list_filter(list_zip(ws, ws[2:]), lambda p: p[1] = p[2])) AS n_stutters
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))
-            OR 2 * n_dup_lines > n_lines OR 10 * n_digits > 3 * word_chars OR 10 * n_cut > 3 * n_lines) AS kept
+            OR 2 * n_dup_lines > n_lines OR 2 * n_digits > word_chars OR 10 * n_cut > 3 * n_lines OR 10 * n_stutters > 3 * n_words) AS kept
 FROM b
 """
 
