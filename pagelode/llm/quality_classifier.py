@@ -15,58 +15,79 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import ASCII_UPPER, texts_in, words_of
+from pagelode.llm.common import ASCII_UPPER, texts_in
 
 FIT_ROWS = 4000
 WIDTH = 1 << 13
 ENDS, SHARES = 256, 33  # places for word ends and for shares of the text
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "der", "die", "und", "das", "den", "le", "la", "de", "et", "les", "que", "el", "los", "y", "en", "un")
 
-#: What each labeller votes: 2 good, 1 bad, 0 abstains; over n (words), and shares of it.
-LABELLERS: dict[str, str] = {
-    "length": "case when n < 10 then 1 when n >= 40 then 2 else 0 end",
-    "symbols": "case when n = 0 then 0 when symbols > 0.1 * n then 1 when symbols < 0.01 * n then 2 else 0 end",
-    "stop_words": "case when n < 20 then 0 when stops >= 3 then 2 when stops = 0 then 1 else 0 end",
-    "variety": "case when n < 50 then 0 when distinct < 0.12 * n then 1 when distinct > 0.3 * n then 2 else 0 end",
-    "word_length": "case when n < 5 then 0 when chars < 2.5 * n or chars > 14 * n then 1 when chars between 3 * n and 9 * n then 2 else 0 end",
-    "stutter": "case when n < 5 then 0 when stutters > 0.15 * n then 1 when stutters < 0.03 * n then 2 else 0 end",
-    "shouting": "case when chars < 20 then 0 when upper > 0.3 * chars then 1 when upper < 0.15 * chars then 2 else 0 end",
-    "ending": "case when last rlike '[.!?]$' then 2 when n > 0 and last rlike '[#$%&*|<>]$' then 1 else 0 end",
-    "sentences": "case when n < 20 then 0 when stopped = 0 or n > 120 * stopped then 1 when n between 2 * stopped and 50 * stopped then 2 else 0 end",
+_SYMBOLS, _UPPER, _STOPS = b"#*$%&|<>", ASCII_UPPER.encode(), frozenset(w.encode() for w in STOP_WORDS)
+
+
+class Measures:
+    """What labellers and features look at, over the UTF-8 of a whole text."""
+
+    def __init__(self, text: str | None):
+        from collections import Counter
+        from operator import eq
+
+        raw = (text or "").encode()
+        self.words = raw.split()
+        self.seen = Counter(self.words)
+        self.n, self.distinct, self.size = len(self.words), len(self.seen), len(raw)
+        self.chars = sum(map(len, self.words))
+        self.symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
+        self.upper = len(raw) - len(raw.translate(None, _UPPER))
+        self.stopped = raw.count(b".") + raw.count(b"!") + raw.count(b"?")
+        self.stutters = sum(map(eq, self.words, self.words[1:]))
+        self.stops = len(_STOPS.intersection(self.seen)) if self.distinct else 0
+        self.last = self.words[-1][-1:] if self.words else b""
+
+
+def _vote(bad: bool, good: bool) -> int:
+    return 1 if bad else 2 if good else 0
+
+
+#: What each labeller votes: 2 good, 1 bad, 0 abstains.
+LABELLERS: dict[str, Callable[[Measures], int]] = {
+    "length": lambda m: _vote(m.n < 10, m.n >= 40),
+    "symbols": lambda m: _vote(m.n > 0 and m.symbols > 0.1 * m.n, m.n > 0 and m.symbols < 0.01 * m.n),
+    "stop_words": lambda m: 0 if m.n < 20 else _vote(m.stops == 0, m.stops >= 3),
+    "variety": lambda m: 0 if m.n < 50 else _vote(m.distinct < 0.12 * m.n, m.distinct > 0.3 * m.n),
+    "word_length": lambda m: 0 if m.n < 5 else _vote(m.chars < 2.5 * m.n or m.chars > 14 * m.n, 3 * m.n <= m.chars <= 9 * m.n),
+    "stutter": lambda m: 0 if m.n < 5 else _vote(m.stutters > 0.15 * m.n, m.stutters < 0.03 * m.n),
+    "shouting": lambda m: 0 if m.chars < 20 else _vote(m.upper > 0.3 * m.chars, m.upper < 0.15 * m.chars),
+    "ending": lambda m: _vote(bool(m.last) and m.last in _SYMBOLS, m.last in (b".", b"!", b"?")),
+    "sentences": lambda m: 0 if m.n < 20 else _vote(m.n > 120 * m.stopped, 2 * m.stopped <= m.n <= 50 * m.stopped),
 }
 PATTERNS = 3 ** len(LABELLERS)
 
 
-def votes(docs: DataFrame) -> DataFrame:
-    """docs with ``_votes``: the labellers' votes as digits to the base 3."""
-    lost = lambda chars: F.length("_t") - F.length(F.translate("_t", chars, ""))
-    rows = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_w", words_of(F.col("_t")))
-    seen = rows.withColumn("_d", F.array_distinct("_w"))
-    measured = seen.withColumn(
-        "_m",
-        F.struct(
-            F.size("_w").alias("n"), lost("#*$%&|<>").alias("symbols"), F.size(F.array_intersect("_d", F.array(*map(F.lit, STOP_WORDS)))).alias("stops"),
-            F.size("_d").alias("distinct"), F.length(F.array_join("_w", "")).alias("chars"), lost(ASCII_UPPER).alias("upper"),
-            F.size(F.filter("_w", lambda x, i: F.coalesce(F.get("_w", i + 1) == x, F.lit(False)))).alias("stutters"), F.get("_w", F.size("_w") - 1).alias("last"),
-            lost(".!?").alias("stopped"),
-        ),
-    ).drop("_t", "_w", "_d")
-    code = F.lit(0)
-    for rule in LABELLERS.values():
-        code = code * 3 + F.expr(_within(rule))
-    return measured.withColumn("_votes", code.cast("int")).drop("_m")
+def votes(measures: Measures) -> int:
+    """The labellers' votes as digits to the base 3."""
+    code = 0
+    for labeller in LABELLERS.values():
+        code = 3 * code + labeller(measures)
+    return code
 
 
-def _within(rule: str) -> str:
-    import re
+def patterns_of(docs: DataFrame) -> dict[int, int]:
+    """How many documents have each vote pattern: at most PATTERNS rows."""
 
-    return re.sub(r"\b(n|symbols|stops|distinct|chars|upper|stutters|last|stopped)\b", r"_m.\1", rule)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([votes(Measures(t)) for _, texts in texts_in(batch, "text") for t in texts], pa.int32())], ["votes"])
+
+    cast = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "votes int")
+    return {r["votes"]: r["n"] for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()}
 
 
 def digits(code: int) -> list[int]:
@@ -100,25 +121,22 @@ def estimate(patterns: dict[int, int], rounds: int = 200):
     return dict(zip(codes, post.tolist())), list(zip(right.tolist(), (1 - wrong).tolist()))
 
 
-def features(text: str | None):
+def features(m: Measures):
     """(places, values) of the hashed features of a whole text, with unit length."""
     from collections import Counter
-    from operator import eq
     from zlib import crc32
 
     import numpy as np
 
-    raw = (text or "").encode()
-    words = raw.split()
-    seen = Counter(words)
-    ends = Counter(w[-1:] for w in words)
-    if not seen:
+    if not m.n:
         return np.empty(0, np.int64), np.empty(0)
-    n, start = len(words), WIDTH - ENDS - SHARES
-    shares = (sum(map(eq, words, words[1:])) / n, (len(raw) - len(raw.translate(None, ASCII_UPPER.encode()))) / len(raw), len(seen) / n)
-    places = [crc32(w) % start for w in seen] + [start + 11 * k + round(10 * x) for k, x in enumerate(shares)] + [WIDTH - ENDS + e[0] for e in ends]
-    values = np.concatenate([np.log1p(np.fromiter(seen.values(), float, len(seen))), 3 * np.log1p(np.fromiter(ends.values(), float, len(ends)))])
-    values = np.insert(values, len(seen), [0.5 * np.sqrt(values @ values)] * len(shares))
+    ends = Counter(w[-1:] for w in m.words)
+    start = WIDTH - ENDS - SHARES
+    shares = (m.stutters / m.n, m.upper / m.size, m.distinct / m.n)
+    places = [crc32(w) % start for w in m.seen] + [start + 11 * k + round(10 * x) for k, x in enumerate(shares)] + [WIDTH - ENDS + e[0] for e in ends]
+    words = np.log1p(np.fromiter(m.seen.values(), float, m.distinct))
+    lasts = 3 * np.log1p(np.fromiter(ends.values(), float, len(ends)))
+    values = np.concatenate([words, [0.5 * np.sqrt(words @ words + lasts @ lasts)] * len(shares), lasts])
     return np.array(places, np.int64), values / np.sqrt(values @ values)
 
 
@@ -144,32 +162,38 @@ def fit_scorer(rows: list, labels, rounds: int = 150, decay: float = 1e-5):
 
 def classify(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """doc_id, votes, posterior, score (the scorer's, 0 to 1), kept."""
-    rows = votes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    patterns = {r["_votes"]: r["n"] for r in rows.groupBy("_votes").agg(F.count("*").alias("n")).collect()}  # at most PATTERNS rows
-    post, _ = estimate(patterns)
-    by_code = F.from_json(F.lit(json.dumps([post.get(c, 0.5) for c in range(PATTERNS)])), "array<double>")
-    labelled = rows.select("doc_id", "text", "_votes", F.get(by_code, F.col("_votes")).alias("posterior"))
-    weights = docs.sparkSession.sparkContext.broadcast(_fitted(labelled, sum(patterns.values())))  # WIDTH + 1 numbers
+    import numpy as np
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    patterns = patterns_of(rows)
+    by_code = np.full(PATTERNS, 0.5)
+    for code, value in estimate(patterns)[0].items():
+        by_code[code] = value
+    weights = _fitted(rows, sum(patterns.values()), by_code)
+    shared = docs.sparkSession.sparkContext.broadcast((by_code, weights))  # PATTERNS and WIDTH + 1 numbers
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        w = weights.value
+        by_code, w = shared.value
         for batch in batches:
-            scores = []
+            codes, scores = [], []
             for _, texts in texts_in(batch, "text"):
                 for text in texts:
-                    at, value = features(text)
+                    m = Measures(text)
+                    at, value = features(m)
+                    codes.append(votes(m))
                     scores.append(float(w[at] @ value + w[-1]))
-            score = 1 / (1 + np.exp(-np.array(scores)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_votes"), batch.column("posterior"), pa.array(score)], ["doc_id", "votes", "posterior", "score"])
+            score = 1 / (1 + np.exp(-np.array(scores, float)))
+            cast = np.array(codes, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cast), pa.array(by_code[cast]), pa.array(score)], ["doc_id", "votes", "posterior", "score"])
 
-    return labelled.mapInArrow(run, "doc_id long, votes int, posterior double, score double").withColumn("kept", F.col("score") >= keep_from)
+    return rows.mapInArrow(run, "doc_id long, votes int, posterior double, score double").withColumn("kept", F.col("score") >= keep_from)
 
 
-def _fitted(labelled: DataFrame, n: int):
-    """The scorer's weights from at most FIT_ROWS rows."""
+def _fitted(rows: DataFrame, n: int, by_code):
+    """The scorer's weights from at most FIT_ROWS rows, labelled by their posteriors."""
     import numpy as np
 
     order = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 40))
@@ -179,23 +203,21 @@ def _fitted(labelled: DataFrame, n: int):
         import pyarrow as pa
 
         for batch in batches:
-            found = [features(t) for _, texts in texts_in(batch, "text") for t in texts]
+            seen = [Measures(t) for _, texts in texts_in(batch, "text") for t in texts]
+            found = [features(m) for m in seen]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), batch.column("posterior"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                ["h", "posterior", "at", "value"],
+                [batch.column("h"), pa.array([votes(m) for m in seen], pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
+                ["h", "votes", "at", "value"],
             )
 
-    sample = labelled.withColumn("h", order).where(F.col("h") < below).select("h", "posterior", "text").mapInArrow(run, "h long, posterior double, at array<long>, value array<double>").toArrow()
+    sample = rows.withColumn("h", order).where(F.col("h") < below).select("h", "text").mapInArrow(run, "h long, votes int, at array<long>, value array<double>").toArrow()
     if not sample.num_rows:
         return fit_scorer([], [])
-    keep = np.argsort(sample.column("h").to_numpy(), kind="stable")[:FIT_ROWS]
-    at, value, label = (sample.column(c).combine_chunks() for c in ("at", "value", "posterior"))
-    rows = [(np.asarray(at[i].values), np.asarray(value[i].values)) for i in keep.tolist()]
-    return fit_scorer(rows, [label[i].as_py() for i in keep.tolist()])
+    keep = np.argsort(sample.column("h").to_numpy(), kind="stable")[:FIT_ROWS].tolist()
+    at, value, cast = (sample.column(c).combine_chunks() for c in ("at", "value", "votes"))
+    return fit_scorer([(np.asarray(at[i].values), np.asarray(value[i].values)) for i in keep], [by_code[cast[i].as_py()] for i in keep])
 
 
 def accuracies(docs: DataFrame) -> dict[str, tuple[float, float]]:
     """Each labeller's estimated chance to be right on good and on bad documents, where it votes."""
-    patterns = {r["_votes"]: r["n"] for r in votes(docs.select("text")).groupBy("_votes").agg(F.count("*").alias("n")).collect()}
-    return dict(zip(LABELLERS, estimate(patterns)[1]))
-
+    return dict(zip(LABELLERS, estimate(patterns_of(docs))[1]))
