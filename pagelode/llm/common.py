@@ -52,6 +52,16 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE_CLASS)).otherwise(F.array().cast("array<string>"))
 
 
+def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """df, after limiting the session's Arrow batches (unless they are smaller already), so that long texts do not fill the Python workers' memory."""
+    conf = df.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def texts_in(batch, column: str, at_once: int = 256) -> Iterator[tuple[int, list]]:
     """Slices of a record batch's text column as Python strings, so that few are alive at a time."""
     values = batch.column(column)
@@ -78,7 +88,7 @@ class WordEncoder:
     bounded and frequent parts stay; new parts are encoded by the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 150_000):
         import os
         from array import array
 

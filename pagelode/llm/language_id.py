@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import texts_in
+from pagelode.llm.common import small_batches, texts_in
 
 PER_LANG = 400
 LANDMARKS_PER_LANG = 32
@@ -143,7 +143,7 @@ def train(rows: list[tuple[str, object]], ridge: float = 1e-3) -> KernelModel |
 
 def fit(docs: DataFrame) -> KernelModel | None:
     """The model of the training rows of docs."""
-    ready = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
+    ready = small_batches(docs).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         "lang is not null and text is not null"
     ).where(~held_out(F.col("doc_id")))
     order = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40))
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
                         langs[start + i], scores[start + i] = own.langs[best], min(1.0, max(0.0, float(value)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -220,4 +220,4 @@ def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 out[[start + i for i in known]] = own.scores([grams[i] for i in known]).max(axis=1)
         return pd.Series(out)
 
-    return docs.where(score(F.col("text").cast("string")) >= least)
+    return small_batches(docs).where(score(F.col("text").cast("string")) >= least)

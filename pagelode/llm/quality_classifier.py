@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import ASCII_UPPER, texts_in
+from pagelode.llm.common import ASCII_UPPER, small_batches, texts_in
 
 FIT_ROWS = 4000
 WIDTH = 1 << 13
@@ -86,7 +86,7 @@ def patterns_of(docs: DataFrame) -> dict[int, int]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([votes(Measures(t)) for _, texts in texts_in(batch, "text") for t in texts], pa.int32())], ["votes"])
 
-    cast = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "votes int")
+    cast = small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "votes int")
     return {r["votes"]: r["n"] for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()}
 
 
@@ -164,7 +164,7 @@ def classify(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """doc_id, votes, posterior, score (the scorer's, 0 to 1), kept."""
     import numpy as np
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     patterns = patterns_of(rows)
     by_code = np.full(PATTERNS, 0.5)
     for code, value in estimate(patterns)[0].items():

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import stored, texts_in
+from pagelode.llm.common import small_batches, stored, texts_in
 
 RADIUS = 2
 HOT_SHARD = 4096
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             values = np.array([fingerprint(t, shingle) for _, texts in texts_in(batch, "text") for t in texts], "<u8")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view("<i8")), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import stored, texts_in
+from pagelode.llm.common import small_batches, stored, texts_in
 
 ANCHORS = frozenset(
     "a an and are as at be but by for from had has have he her his in is it its of on or she that the their they this to was were which will with you "
@@ -113,7 +113,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     range to its task, and the first row of the range below comes along marked
     ``last``: it only follows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     n = ids.count()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_TASK))
@@ -211,7 +211,7 @@ def classes(docs: DataFrame) -> DataFrame:
             sets = [signatures(t) for _, texts in texts_in(batch, "text") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "signatures"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, signatures array<long>")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, signatures array<long>")
     return stored(rows.groupBy("signatures").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "spot-classes")
 
 

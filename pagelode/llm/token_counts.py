@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import default_tokenizer, encoder, texts_in
+from pagelode.llm.common import default_tokenizer, encoder, small_batches, texts_in
 
 LEAF = 64
 #: Only these are cut before: the encoder's own plain separators.
@@ -137,5 +137,5 @@ def counts(docs: DataFrame, tokenizer: str | None = None, edits=sample_edits) ->
                     out.append((key, before, len(todo), tree.total, tree.reencoded))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "n_tokens", "n_edits", "edited_n_tokens", "reencoded_chars"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_edits long, edited_n_tokens long, reencoded_chars long")

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import scratch_path, stored
+from pagelode.llm.common import scratch_path, small_batches, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CHUNK = 1 << 20
@@ -129,7 +129,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             out.write(press.flush())
         yield pa.RecordBatch.from_pydict({"archive": [name], "n_records": [n]})
 
-    return rows.select("page_id", "url", "html", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, n_records long")
+    return small_batches(rows).select("page_id", "url", "html", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, n_records long")
 
 
 def _header(stream) -> list[bytes] | None:
