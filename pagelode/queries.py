@@ -117,10 +117,10 @@ def _side(side: str, f: str) -> str:
 
 @query(f"""
 WITH r AS ({_REGIONS}) SELECT page_id, seq, {_side('prev', 'lag')}, {_side('next', 'lead')}, coalesce(ends_with(rtrim(lag(text) OVER w), '.'), FALSE) AS prev_ends_period,
-  coalesce(regexp_matches(lead(text) OVER w, '^\\s*([-*•]|\\(?\\d+[).]|[A-Za-z][).])\\s+'), FALSE) AS next_starts_marker FROM r WINDOW w AS (PARTITION BY page_id ORDER BY y, x, seq)
+  coalesce(regexp_matches(lead(text) OVER w, '^\\s*([-*•]|\\(?\\d+[).]|[A-Za-z][).])\\s+'), FALSE) AS next_starts_marker FROM r WINDOW w AS (PARTITION BY page_id ORDER BY y, x, seq, w, h, text)
 """)
 def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.neighbours(_regions(spark, sf_dir)).drop("x", "y", "w", "h", "text")
+    return layout.neighbours(_regions(spark, sf_dir), order=("y", "x", "seq", "w", "h", "text")).drop("x", "y", "w", "h", "text")
 
 
 # Block rules

@@ -94,9 +94,7 @@ def file_hashes(spark: SparkSession, folder: str, pattern: str | None = None) ->
 
 def whole_texts(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
     """path, text."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    read = read.option("pathGlobFilter", pattern) if pattern else read
-    return read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _bare(xml: Column) -> Column:
