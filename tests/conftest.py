@@ -17,10 +17,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted by the named columns or whole."""
-    found = [tuple(r) for r in df.collect()]
-    at = [df.columns.index(c) for c in order] or range(len(df.columns))
-    return sorted(found, key=lambda r: [(r[i] is not None, r[i]) for i in at])

@@ -5,7 +5,7 @@ import random
 import zipfile
 
 import pytest
-from conftest import rows
+from oracle import rows
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as T

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from oracle import rows
 from pyspark.sql import functions as F
 
 from pagelode.schemas import feature_columns, require_columns, with_default_columns
