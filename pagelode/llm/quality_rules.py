@@ -46,7 +46,11 @@ def policy_mask(version: str) -> int:
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct column ``_m`` of the measurements; other columns stay."""
+    """df with a struct column ``_m`` of the measurements; other columns stay.
+
+    A row number in the struct keeps the optimizer from moving filters below the
+    measurements, which would write each of them out anew wherever it is used.
+    """
     with_words = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", words_of(F.col("_t")))
     counted = with_words.withColumn("_n", F.size("_w")).withColumn(
         "_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0)
@@ -76,6 +80,7 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn(
         "_m",
         F.struct(
+            F.monotonically_increasing_id().alias("row"),
             F.col("_n").cast("long").alias("n_words"),
             F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
             without(SYMBOLS).cast("long").alias("n_symbols"),
@@ -133,12 +138,7 @@ def ablation(rows: DataFrame, version: str = "v2") -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, version: str = "v2", text: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that pass a policy.
-
-    The row number keeps the optimizer from moving the filter below the
-    measurements, which would write each of them out anew wherever it is used.
-    """
-    names = docs.columns
+    """The rows of docs, with their columns, that pass a policy."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text).alias("_text"))
     passed = _failed("_m.").bitwiseAND(F.lit(policy_mask(version) | policy_mask("base"))) == 0
-    judged = measured(docs, text).select(*[F.col(f"`{c}`") for c in names], passed.alias("_kept"), F.monotonically_increasing_id().alias("_row"))
-    return judged.where("_kept and _row >= 0").select(*[F.col(f"`{c}`") for c in names])
+    return measured(whole, "_text").where(passed).select("_doc.*")
