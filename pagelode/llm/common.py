@@ -88,7 +88,7 @@ class WordEncoder:
     bounded and frequent parts stay; new parts are encoded by the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 250_000):
         import os
         from array import array
 
