@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelode.llm.common import small_batches, texts_in
@@ -162,17 +163,18 @@ def fit(docs: DataFrame) -> KernelModel | None:
             for start, texts in texts_in(batch, "text"):
                 grams = [spectrum(t) for t in texts]
                 own = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("h"), pa.array([None if g is None else g.astype("<i4") for g in grams], pa.list_(pa.int32()))], ["lang", "h", "grams"])
+                held = pa.array([None if g is None else g.astype("<i4") for g in grams], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("h"), own.column("t"), held], ["lang", "h", "t", "grams"])
 
-    sample = ready.withColumn("h", order).where(F.col("h") < below).select("lang", "h", "text").mapInArrow(run, "lang string, h long, grams array<int>").where("grams is not null").toArrow()
+    few = ready.withColumn("h", order).where(F.col("h") < below).select("lang", "h", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "lang string, h long, t long, grams array<int>")
+    # The limit a language holds though one id may be that of many rows; it is taken before the shuffle too.
+    ranked = few.where("grams is not null").withColumn("_k", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("_k") <= PER_LANG)
+    sample = ranked.drop("_k").toArrow()
     import numpy as np
 
-    rows = sorted(zip(sample.column("lang").to_pylist(), sample.column("h").to_pylist(), range(sample.num_rows)), key=lambda r: (r[1], r[0]))
-    grams, taken, used = sample.column("grams").combine_chunks(), [], {}
-    for lang, _, i in rows:
-        if used.get(lang, 0) < PER_LANG:
-            used[lang] = used.get(lang, 0) + 1
-            taken.append((lang, np.asarray(grams[i].values)))
+    grams = sample.column("grams").combine_chunks()
+    order_of = sorted(zip(*(sample.column(c).to_pylist() for c in ("h", "lang", "t")), range(sample.num_rows)))
+    taken = [(lang, np.asarray(grams[i].values)) for _, lang, _, i in order_of]
     return train(taken)
 
 

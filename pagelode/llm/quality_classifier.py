@@ -206,16 +206,16 @@ def _fitted(rows: DataFrame, n: int, by_code):
             seen = [Measures(t) for _, texts in texts_in(batch, "text") for t in texts]
             found = [features(m) for m in seen]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h"), pa.array([votes(m) for m in seen], pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                ["h", "votes", "at", "value"],
+                [batch.column("h"), batch.column("t"), pa.array([votes(m) for m in seen], pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
+                ["h", "t", "votes", "at", "value"],
             )
 
-    sample = rows.withColumn("h", order).where(F.col("h") < below).select("h", "text").mapInArrow(run, "h long, votes int, at array<long>, value array<double>").toArrow()
+    found = rows.withColumn("h", order).where(F.col("h") < below).select("h", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "h long, t long, votes int, at array<long>, value array<double>")
+    sample = found.orderBy("h", "t").limit(FIT_ROWS).toArrow()  # the limit holds though one id may be that of many rows
     if not sample.num_rows:
         return fit_scorer([], [])
-    keep = np.argsort(sample.column("h").to_numpy(), kind="stable")[:FIT_ROWS].tolist()
     at, value, cast = (sample.column(c).combine_chunks() for c in ("at", "value", "votes"))
-    return fit_scorer([(np.asarray(at[i].values), np.asarray(value[i].values)) for i in keep], [by_code[cast[i].as_py()] for i in keep])
+    return fit_scorer([(np.asarray(at[i].values), np.asarray(value[i].values)) for i in range(len(cast))], [by_code[c] for c in cast.to_pylist()])
 
 
 def accuracies(docs: DataFrame) -> dict[str, tuple[float, float]]:

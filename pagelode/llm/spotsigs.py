@@ -33,6 +33,8 @@ ANCHORS = frozenset(
 CHAIN = 2
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»„“”‘’…–—¿¡"
 ROWS_A_TASK = 10_000
+#: Id ranges never exceed this, so what the driver holds of them is bounded; larger tables get larger ranges, sorted on disk.
+MOST_RANGES = 20_000
 
 
 def signatures(text: str | None, chain: int = CHAIN) -> set[int]:
@@ -96,40 +98,44 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _longs(values: list) -> str:
+    """SQL of an array of longs."""
+    return f"cast(array({', '.join('null' if v is None else f'{v}L' for v in values)}) as array<bigint>)"
+
+
 def _place(bounds: list[int], key: Column) -> Column:
     """How many of the sorted bounds are at most key, by a two-level search in literal arrays."""
     side = max(1, int(len(bounds) ** 0.5))
     rows = [bounds[i : i + side] for i in range(0, len(bounds), side)] or [[]]
-    literal = lambda values: F.array(*[F.lit(v).cast("long") for v in values]).cast("array<bigint>")
     upto = lambda values: F.size(F.filter(values, lambda x: x <= key))
-    at = F.greatest(upto(literal([r[0] for r in rows if r])) - 1, F.lit(0))
-    return at * side + upto(F.get(F.array(*map(literal, rows)), at))
+    at = F.greatest(upto(F.expr(_longs([r[0] for r in rows if r]))) - 1, F.lit(0))
+    return at * side + upto(F.get(F.expr(f"array({', '.join(map(_longs, rows))})"), at))
 
 
 def with_following(docs: DataFrame) -> DataFrame:
     """part, last, doc_id, text in partitions by part, sorted so that each row's follower (descending doc_id, the first after the last) is the next row.
 
-    Ids are cut into ranges at a hash sample of them; one shuffle brings each
-    range to its task, and the first row of the range below comes along marked
-    ``last``: it only follows.
+    Ids are cut into at most ``MOST_RANGES`` ranges at a hash sample of about 40
+    distinct ids a range; one shuffle brings each range to its task, and the
+    first row of the range below comes along marked ``last``: it only follows.
     """
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     n = ids.count()
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_TASK))
+    tasks = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_TASK)))
     share = min(1.0, 40 * tasks / max(n, 1))
-    sample = ids.where(f"doc_id is not null and pmod(xxhash64(doc_id), 1000000) < {int(share * 1_000_000) + 1}").toPandas()["doc_id"]
-    sample = sorted(set(sample.tolist()))
+    below = int(share * (1 << 40)) + 1
+    sample = sorted(ids.where(f"doc_id is not null and pmod(xxhash64(doc_id), {1 << 40}) < {below}").distinct().toPandas()["doc_id"].tolist())
     bounds = sorted({sample[i * len(sample) // tasks] for i in range(1, tasks)}) if sample else []
     part = _place(bounds, F.col("doc_id"))
-    heads = {r["part"]: r["head"] for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect()}  # one a task
+    heads = {r["part"]: r["head"] for r in ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect()}  # one a range
     order = sorted(heads)
     above = {p: order[(k + 1) % len(order)] for k, p in enumerate(order)}
-    head = F.array(*[F.lit(heads.get(p)).cast("long") for p in range(len(bounds) + 1)])
-    to = F.array(*[F.lit(above.get(p, 0)).cast("int") for p in range(len(bounds) + 1)])
+    head = F.expr(_longs([heads.get(p) for p in range(len(bounds) + 1)]))
+    to = F.expr(_longs([above.get(p, 0) for p in range(len(bounds) + 1)]))
     placed = rows.withColumn("part", part)
     own = F.struct(F.col("part").cast("int").alias("part"), F.lit(False).alias("last"))
-    halo = F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("last"))
+    halo = F.struct(F.get(to, F.col("part")).cast("int").alias("part"), F.lit(True).alias("last"))
     dealt = placed.withColumn("_to", F.when(F.col("doc_id").eqNullSafe(F.get(head, F.col("part"))), F.array(own, halo)).otherwise(F.array(own)))
     split = dealt.select(F.inline("_to"), "doc_id", "text")
     return split.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").desc_nulls_last(), "text")

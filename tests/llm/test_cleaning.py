@@ -76,6 +76,18 @@ def test_classifier_cases(odd_docs, no_docs):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_samples_are_bounded_though_rows_share_an_id(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(quality_classifier, "FIT_ROWS", 7)
+    monkeypatch.setattr(quality_classifier, "fit_scorer", lambda rows, labels: sizes.append((len(rows), len(labels))) or np.zeros(quality_classifier.WIDTH + 1))
+    monkeypatch.setattr(language_id, "PER_LANG", 4)
+    monkeypatch.setattr(language_id, "train", lambda rows: sizes.append(sorted(lang for lang, _ in rows)))
+    docs = spark.createDataFrame([(1 if i % 2 else None, f"some words of text {i % 9}", "en" if i % 3 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    assert quality_classifier.classify(docs).count() == 60
+    language_id.fit(docs)
+    assert sizes == [(7, 7), ["de"] * 4 + ["en"] * 4]
+
+
 def test_classifier_agrees_with_held_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_classifier.classify(docs).join(labels, "doc_id").toPandas()

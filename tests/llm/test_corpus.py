@@ -239,8 +239,10 @@ def test_spot_fingerprints_equal_brute_force(spark, odd_docs, no_docs):
     assert spotsigs.fingerprints(no_docs).count() == 0
 
 
-def test_followers_across_partitions(spark, monkeypatch):
+@pytest.mark.parametrize("ranges", [20_000, 3])
+def test_followers_across_partitions(spark, monkeypatch, ranges):
     monkeypatch.setattr(spotsigs, "ROWS_A_TASK", 5)
+    monkeypatch.setattr(spotsigs, "MOST_RANGES", ranges)
     rng = random.Random(1)
     data = [(i * 7, f"the {rng.random()} cat of x{i} and y") for i in range(120)]
     got = {r.doc_id: r.edited_sha256 for r in spotsigs.fingerprints(spark.createDataFrame(data, "doc_id long, text string").repartition(6)).collect()}
