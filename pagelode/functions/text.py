@@ -130,6 +130,16 @@ def bbox_of(value: Column) -> Column:
     )
 
 
+def number_text(c: Column) -> Column:
+    """Whole numbers without a point; others with at most six places and no zeros at the end."""
+    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", ""))
+
+
+def bbox_text(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Four numbers with commas; null if one is."""
+    return F.concat(number_text(x), F.lit(","), number_text(y), F.lit(","), number_text(w), F.lit(","), number_text(h))
+
+
 def overlap_ratio(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Area shared by two boxes over the area of b; 0 where a size is not positive."""
     wide = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])

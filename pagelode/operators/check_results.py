@@ -55,6 +55,11 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.coalesce(F.size("locations"), F.lit(0)) + F.when(F.col("additional") != 0, F.col("additional") - 1).otherwise(0))
 
 
+def shown(rows: DataFrame, warnings: bool = False, usage: bool = False) -> DataFrame:
+    """messages of fatal errors and errors; warnings and usage hints if asked for."""
+    return rows.where(F.col("severity").isin("FATAL", "ERROR", *["WARNING"] * warnings, *["USAGE"] * usage))
+
+
 def locations(rows: DataFrame) -> DataFrame:
     """file, ID, place (file-line-column), n: how often each place is named."""
     at = rows.select("file", "ID", F.explode("locations").alias("l"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as T
-from pagelode.operators import check_results, documents, layout, metrics, models, relations
+from pagelode.operators import check_results, documents, layout, manifests, metrics, models, relations
 from pagelode.plans import block_rules
 from pagelode.schemas import BLOCK_LABELS, ROW_KEY
 from pagelode.streaming import streams
@@ -468,6 +468,59 @@ def hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("digest", "sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
 
 
+# Manifests
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.when(d % 10 == 0, "  ").otherwise(F.concat(F.lit(" s"), d)).alias("sample_id"), F.when(d % 3 == 0, "train").when(d % 3 == 1, "heldout").otherwise("other").alias("split"),
+        F.when(d % 4 == 0, "none").when(d % 4 == 1, "manual").otherwise("tool").alias("label_source"), F.when(d % 6 == 0, "").otherwise(F.concat(F.lit("labels/"), d, F.lit(".tsv"))).alias("label_path"),
+        F.concat(F.lit("in/"), d, F.lit("."), F.when(d % 5 == 0, "PDF").when(d % 5 == 1, "gif").otherwise("png")).alias("relative_path"), F.when(d % 7 == 0, "true").otherwise("false").alias("local_only"),
+    )
+
+
+@query("""
+SELECT 's' || doc_id AS sample_id, CASE WHEN doc_id % 3 = 0 THEN 'train' ELSE 'heldout' END AS split,
+  CASE WHEN doc_id % 4 = 0 OR doc_id % 6 = 0 THEN 'controls' WHEN doc_id % 4 = 1 THEN 'manual' ELSE 'labelled' END AS route
+FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 3 < 2
+""")
+def manifest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.with_route(manifests.selected(_manifest(spark, sf_dir), ["train", "heldout"])).select("sample_id", "split", "route")
+
+
+@query("""
+SELECT 'in/' || doc_id || '.' || e AS relative_path, lower(e) AS suffix, CASE WHEN e = 'gif' THEN 'skipped' ELSE 'ready' END AS status, CASE WHEN e = 'gif' THEN 'suffix_gif' ELSE '' END AS reason
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'gif' ELSE 'png' END AS e FROM documents WHERE doc_id % 7 <> 0) JOIN (SELECT DISTINCT page_id FROM pages) ON doc_id = page_id
+""")
+def payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _manifest(spark, sf_dir)
+    there = table(spark, sf_dir, "pages").select(F.explode(F.array(*[F.concat(F.lit("in/"), "page_id", F.lit(e)) for e in (".PDF", ".gif", ".png")])).alias("relative_path"))
+    return manifests.with_suffix_status(manifests.payloads(entries, there), ["pdf", "png"]).select("relative_path", "suffix", "status", "reason")
+
+
+@query("""
+WITH m(source_label, target_label, use_for_training) AS (VALUES ('MAIL', 'paragraph', 'yes'), ('SHIP', 'heading', NULL), ('AIR', 'caption', 'no'), ('RAIL', ' ', 'yes'), ('FOB', 'paragraph', 'yes'), ('TRUCK', 'table', 'yes'),
+  ('R', 'heading', 'yes'), ('A', 'caption', NULL), ('N', 'paragraph', 'no'))
+SELECT l_orderkey AS image_id, string_agg(DISTINCT target_label, ';' ORDER BY target_label) AS labels FROM lineitem JOIN m ON l_returnflag = source_label
+WHERE coalesce(use_for_training, '') <> 'no' AND trim(target_label) <> '' GROUP BY l_orderkey
+""")
+def eligible_page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("MAIL", "paragraph", "yes"), ("SHIP", "heading", None), ("AIR", "caption", "no"), ("RAIL", " ", "yes"), ("FOB", "paragraph", "yes"), ("TRUCK", "table", "yes"), ("R", "heading", "yes"), ("A", "caption", None), ("N", "paragraph", "no")]
+    mapping = spark.createDataFrame(rows, "source_label string, target_label string, use_for_training string")
+    notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_returnflag").alias("source_label"))
+    return manifests.eligible_labels(notes, mapping).withColumn("labels", F.array_join("labels", ";"))
+
+
+_NUMBER_TEXT = "CASE WHEN {0} = floor({0}) THEN floor({0})::BIGINT::VARCHAR ELSE regexp_replace(printf('%.6f', {0}), '\\.?0+$', '') END"
+
+
+@query(f"SELECT p_partkey, {' || chr(44) || '.join(_NUMBER_TEXT.format(x) for x in ('x', 'y', 'w', 'h'))} AS bbox FROM (SELECT p_partkey, p_size::DOUBLE AS x, p_size / 8e0 AS y, p_size * 10 / 4e0 AS w, -p_partkey / 16e0 AS h FROM part)")
+def box_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", T.bbox_text(size.cast("double"), size / 8.0, size * 10 / 4.0, -F.col("p_partkey") / 16.0).alias("bbox"))
+
+
 # Scalar functions
 
 
@@ -615,6 +668,11 @@ def check_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_results.outcome(_checks(spark, sf_dir, True))
 
 
+@query("SELECT CASE WHEN l_linenumber = 2 THEN 'ERROR' ELSE 'WARNING' END AS severity, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3) GROUP BY 1")
+def shown_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_results.shown(check_results.messages(_checks(spark, sf_dir, True)), warnings=True).groupBy("severity").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH o AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS i FROM lineitem WHERE l_linenumber <> 1), n AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS i FROM lineitem WHERE l_linenumber <= 3)
 SELECT coalesce(o.f, n.f) AS file, count(*) FILTER (o.i IS NULL) AS n_added, count(*) FILTER (n.i IS NULL) AS n_removed, 0::BIGINT AS n_changed,

@@ -9,7 +9,7 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as T
-from pagelode.operators import check_results, documents, layout, metrics, relations
+from pagelode.operators import check_results, documents, layout, manifests, metrics, relations
 from pagelode.plans import block_rules
 from pagelode.schemas import BLOCK_LABELS, LEGACY_LABELS
 from pagelode.streaming import streams
@@ -183,6 +183,23 @@ def test_ocr_preview(spark):
     assert [(r.column_no, r.text) for r in documents.split_columns(df.where("block_num = 2"), gap=30).collect()] == [(0, "Body"), (1, "text.")]
 
 
+def test_manifests(spark):
+    data = [(" a ", "train", "manual", "l", "x/A.PNG", "False"), ("b", "train", "none", "l", "b", "false"), ("c", "heldout", "tool", None, "", "false"), ("  ", "train", "tool", "l", "y.png", "false"), (None, "train", "tool", "l", None, None)]
+    m = spark.createDataFrame(data, "sample_id string, split string, label_source string, label_path string, relative_path string, local_only string")
+    assert [r.sample_id for r in manifests.selected(m).collect()] == ["a", "b", "c"]
+    assert [r.sample_id for r in manifests.selected(m, ["train"], ["b", "c"]).collect()] == ["b"]
+    assert [r.route for r in manifests.with_route(m).collect()] == ["manual", "controls", "controls", "labelled", "labelled"]
+    there = spark.createDataFrame([("x/A.PNG",), ("x/A.PNG",), ("b",)], "relative_path string")
+    assert sorted(r.relative_path for r in manifests.payloads(m, there).collect()) == ["b", "x/A.PNG"]
+    assert [r.relative_path for r in manifests.missing_files(m, there, "relative_path").collect()] == ["y.png"]
+    assert [(r.status, r.reason) for r in manifests.with_suffix_status(m, ["png"]).collect()][:2] == [("ready", ""), ("skipped", "no_suffix")]
+
+
+@pytest.mark.parametrize("value, want", [(3.0, "3"), (-2.0, "-2"), (0.125, "0.125"), (1.0000001, "1"), (10.5, "10.5")])
+def test_numbers_as_text(spark, value, want):
+    assert one(spark, t=T.number_text(F.lit(value))).t == want
+
+
 def test_results_do_not_depend_on_partitions(spark):
     random.seed(3)
     data = [("s", random.choice("abc"), random.choice("abc")) for _ in range(300)]
