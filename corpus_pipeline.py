@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words)."""
+    """One document of each group of near copies (sets of five-word shingles with a Jaccard likeness of 0.8 or more)."""
     return simhash.keep_first(docs, shingle=5)
 
 

@@ -12,6 +12,15 @@ together grow with the corpus, so they are not broadcast: fingerprints travel to
 the tree of their shard. A shard returns a spanning forest of its links, never
 all pairs, and connected components are found by star contraction on tables.
 
+``keep_first`` asks for near copies instead: texts whose sets of five-word
+shingles have a Jaccard likeness of ``LIKE`` or more, which differ in about ten
+bits and so are out of reach of the trees. Equal sets are one class. Classes
+that agree in all ``ROWS`` min-hashes of one of ``BANDS`` bands are compared by
+their whole sets: first each with the smallest of its band's key, then whatever
+pairs of a key are not connected yet, so that large groups need no all pairs. A
+pair of likeness j is missed with probability (1 - j**ROWS)**BANDS and never
+linked below ``LIKE``.
+
 Defined cases: null and blank texts have fingerprint zero and link like any
 other; rows that share a doc_id each get a row; a null doc_id takes part but is
 never a component's smallest id unless all its ids are null; empty tables give
@@ -21,6 +30,7 @@ empty results; further columns are ignored (``keep_first`` keeps them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +42,9 @@ from pagelode.llm.common import small_batches, stored, texts_in
 RADIUS = 2
 HOT_SHARD = 4096
 PAIRS = tuple(combinations(range(4), 2))
+#: Of near copies: the least Jaccard likeness (as a fraction), bands, and min-hashes of a band.
+LIKE = (4, 5)
+BANDS, ROWS = 32, 6
 
 
 def fingerprint(text: str | None, shingle: int = 3, at_once: int = 65_536) -> int:
@@ -238,9 +251,138 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """docs, with their columns, without all but the smallest doc_id of each component; of rows that share a kept doc_id, one stays."""
-    found = near_duplicates(docs, shingle, radius)
+def shingle_set(text: str | None, shingle: int = 5, at_once: int = 65_536):
+    """Sorted distinct XXH64 hashes of a whole text's word shingles."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    found = np.empty(0, "<u8")
+    for start in range(0, max(1, len(words) - shingle + 1) if words else 0, at_once):
+        some = words[start : start + at_once + shingle - 1]
+        runs = zip(*(some[k:] for k in range(shingle))) if len(words) >= shingle else [some]
+        found = np.union1d(found, np.array([xxh64_intdigest(b" ".join(r), 42) for r in runs], "<u8"))
+    return found
+
+
+def set_hash(hashes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(hashes.tobytes(), 42)
+
+
+@cache
+def _permutations():
+    import numpy as np
+
+    times, plus = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, BANDS * ROWS), "u8")
+    return times | np.uint64(1), plus
+
+
+def band_keys(hashes, at_once: int = 512) -> list[int]:
+    """One key for each band; none for sets so small that only equal ones are near."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    if len(hashes) * (LIKE[1] - LIKE[0]) < LIKE[0]:
+        return []
+    times, plus = _permutations()
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, "<u8")
+    for start in range(0, len(hashes), at_once):
+        np.minimum(least, (hashes[start : start + at_once, None] * times + plus).min(axis=0), out=least)
+    return [xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+
+
+def _lists(values: list):
+    """An Arrow column of lists of unsigned hashes, as signed longs."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = np.concatenate([np.empty(0, "<u8"), *(np.asarray(v, "<u8") for v in values)]).astype("<u8", copy=False)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat.view("<i8")))
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_hash, set (the hash of the shingle set), size (of the set), keys (of its bands)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets, sizes, keys = [], [], []
+            for _, texts in texts_in(batch, "text"):
+                for text in texts:
+                    found = shingle_set(text, shingle)
+                    sets.append(set_hash(found))
+                    sizes.append(len(found))
+                    keys.append(band_keys(found))
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(sets, "<u8").view("<i8")), pa.array(sizes, pa.int64()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set", "size", "keys"])
+
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, size long, keys array<long>")
+
+
+def _whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """set, grams: the shingle hashes of the wanted sets, from one text of each."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, texts in texts_in(batch, "text", 64):
+                found = [shingle_set(t, shingle) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_hash(g) for g in found], "<u8").view("<i8")), _lists(found)], ["set", "grams"])
+
+    picks = stored(prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("_hash")).select("_hash"), "near-picks")
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_text")).join(picks, F.col("_text") == F.col("_hash"), "left_semi")
+    return stored(texts.dropDuplicates(["_text"]).select("text").mapInArrow(run, "set long, grams array<long>").dropDuplicates(["set"]), "near-sets")
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: those pairs a, na, b, nb (sets and their sizes) whose likeness is LIKE or more. u > v."""
+    part, of = LIKE
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("grams").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.where(shared * (part + of) >= (F.col("na") + F.col("nb")) * part).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, text_hash, root (a set of the row's component): one row for each row of docs."""
+    part, of = LIKE
+    alike = lambda n, m: F.least(n, m) * of >= F.greatest(n, m) * part
+    prints = stored(sketches(docs, shingle), "near-prints")
+    classes = stored(prints.groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "near-classes")
+    banded = classes.select("set", "size", F.explode("keys").alias("key"))
+    heads = stored(banded.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct("set", "size")).alias("head")).where("_n > 1").select("key", "head"), "near-keys")
+    met = stored(banded.join(heads, "key"), "near-met")
+    sets = _whole_sets(docs, prints, met.select("set").distinct(), shingle)
+    with_head = met.where((F.col("set") != F.col("head.set")) & alike(F.col("size"), F.col("head.size")))
+    tried = stored(with_head.select(F.col("head.set").alias("a"), F.col("head.size").alias("na"), F.col("set").alias("b"), F.col("size").alias("nb")).distinct(), "near-tried")
+    edges = stored(_near(tried, sets), "near-links")
+    comps = stored(components(edges), "near-comps")
+    rooted = met.join(comps.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "size", F.col("head.set").alias("head"), F.coalesce("root", "set").alias("root"))
+    rooted = stored(rooted, "near-rooted")
+    mixed = stored(rooted.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r <> _s").select("key"), "near-mixed")
+    rest = rooted.join(mixed, "key", "left_semi").where(F.col("set") != F.col("head"))
+    x = rest.select("key", F.col("set").alias("a"), F.col("size").alias("na"), F.col("root").alias("_ra"))
+    y = rest.select(F.col("key").alias("_key"), F.col("set").alias("b"), F.col("size").alias("nb"), F.col("root").alias("_rb"))
+    apart = x.join(y, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & alike(F.col("na"), F.col("nb")))
+    more = stored(apart.select("a", "na", "b", "nb").distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    found = stored(_near(more, sets), "near-links")
+    if not found.isEmpty():
+        comps = stored(components(edges.union(found)), "near-comps")
+    rows = prints.join(comps.withColumnRenamed("node", "set"), "set", "left")
+    return rows.select("doc_id", "text_hash", F.coalesce("root", "set").alias("root"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs, with their columns, without all but the smallest doc_id of each component of near copies; of rows that share a kept doc_id, one stays."""
+    copies = stored(near_copies(docs, shingle), "near-found")
+    firsts = stored(copies.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").select("root", "component_id"), "near-firsts")
+    found = copies.join(firsts.withColumn("_many", F.lit(True)), "root", "left").withColumn("component_id", F.when(F.col("_many"), F.col("component_id")).otherwise(F.col("doc_id")))
     gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "simhash-gone")
     again = stored(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
     names = [F.col(f"`{c}`") for c in docs.columns]

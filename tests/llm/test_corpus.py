@@ -223,6 +223,49 @@ def test_one_document_of_a_group_stays(odd_docs, no_docs):
     assert simhash.keep_first(no_docs).count() == 0
 
 
+def shingles5(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_are_found_and_others_stay(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    texts, near = [], []
+    for _ in range(40):  # pairs of likeness between 0.8 and 1, and just below 0.8
+        base = fresh(200)
+        for changes in (2, 4):
+            other = list(base)
+            for k in range(changes):
+                other[20 + 40 * k] = "changed"
+            near.append((len(texts), len(texts) + 1, changes))
+            texts += [base + [str(changes)], other + [str(changes)]]
+            base = fresh(200)
+        other = list(base)
+        for k in range(6):
+            other[10 + 30 * k] = "changed"
+        texts += [base, other]
+    long = fresh(260)
+    texts += [long[10 * k : 10 * k + 200] for k in range(6)]  # each near the next and not the last
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles5(t) for t in texts]
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if like(i, j) >= 0.8:
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    assert all(0.8 <= like(i, j) < 1 for i, j, _ in near)
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {i for i in range(len(texts)) if top(i) == i} and len(kept) < len(texts) - 70
+
+
 def brute_followers(docs):
     order = sorted(docs, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     return [(*a, order[(i + 1) % len(order)][1]) for i, a in enumerate(order)]
