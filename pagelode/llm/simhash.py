@@ -34,7 +34,6 @@ from functools import cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelode.llm.common import small_batches, stored, texts_in
@@ -379,17 +378,18 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs, with their columns, without all but the smallest doc_id of each component of near copies; of rows that share a kept doc_id, one stays."""
-    copies = stored(near_copies(docs, shingle), "near-found")
-    firsts = stored(copies.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").select("root", "component_id"), "near-firsts")
-    found = copies.join(firsts.withColumn("_many", F.lit(True)), "root", "left").withColumn("component_id", F.when(F.col("_many"), F.col("component_id")).otherwise(F.col("doc_id")))
-    gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "simhash-gone")
-    again = stored(found.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again")), "simhash-again")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
+    """docs, with their columns, and of each component of near copies only the row of the smallest doc_id (null last), then text hash; of rows that repeat both, one stays."""
+    found = stored(near_copies(docs, shingle), "near-found")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    firsts = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1").select("root", "first")
+    firsts = stored(firsts, "near-firsts")
+    gone = found.join(firsts, "root").where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"))
+    gone = stored(gone.distinct(), "near-gone")
+    again = stored(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_hash")), "near-again")
+    names, text_hash = [F.col(f"`{c}`") for c in docs.columns], F.xxhash64(docs["text"])
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["_hash"]), "left_anti")
     if again.isEmpty():
         return kept
-    here = kept["doc_id"].eqNullSafe(again["_again"])
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    repeated = kept.join(again, here, "left_semi").withColumn("_first", first).where("_first = 1").select(*names)
+    here = docs["doc_id"].eqNullSafe(again["_again"]) & (text_hash == again["_hash"])
+    repeated = kept.join(again, here, "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
     return kept.join(again, here, "left_anti").select(*names).union(repeated)

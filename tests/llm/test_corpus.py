@@ -266,6 +266,16 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert kept == {i for i in range(len(texts)) if top(i) == i} and len(kept) < len(texts) - 70
 
 
+def test_clean_texts_that_share_an_id_stay(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(4))
+    data = [(None, a), (None, b), (None, b), (None, b + " more"), (7, c), (7, d), (7, d), (3, c + " more")]
+    kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    texts = sorted((r.text for r in kept), key=[a, b, b + " more", c + " more", d].index)
+    assert len(kept) == 4 and texts[0] == a and texts[1] in (b, b + " more") and texts[2:] == [c + " more", d]
+    assert sorted((r.doc_id for r in kept), key=str) == [3, 7, None, None]
+
+
 def brute_followers(docs):
     order = sorted(docs, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     return [(*a, order[(i + 1) % len(order)][1]) for i, a in enumerate(order)]
