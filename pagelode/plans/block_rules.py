@@ -1,47 +1,52 @@
 """Scores of text blocks by an ordered rule list, and their arbitration with a model.
 
 Signals, rules and gates are data: SQL conditions over the columns that
-``block_features`` names. ``predicted`` turns them into a few projections, so
-Catalyst sees plain expressions. ``predicted_sql`` writes the same as one SQL
-statement. A rule raises (``up``) or lowers (``down``) a label's score by
-greatest/least with a CASE without ELSE, which skip NULL.
+``FLAGS``, ``NUMBERS`` and ``DISTANCES`` name. ``predicted`` turns them into a
+few projections, so Catalyst sees plain expressions. A rule raises (``up``) or
+lowers (``down``) a label's score by greatest/least with a CASE without ELSE,
+which skip NULL.
+
+Inputs may be booleans, numbers or the cells of a feature file: null and ''
+are absent, which is false for a flag and 0 for a number but differs from 0 for
+a distance; a number is a true flag from one half on; junk raises. A null text
+is empty. Names, values and thresholds are fixed values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pagelode.schemas import BLOCK_LABELS, with_default_columns
+from pagelode.schemas import BLOCK_LABELS
 
 FLAGS = (
     "is_heading_kind", "is_heading_candidate", "contains_currency", "contains_time", "contains_date", "looks_like_address", "contains_path_like", "code_like_signal",
     "contains_clause_punctuation", "has_terminal_period", "ends_with_colon", "is_caption_candidate", "caption_marker_signal", "caption_marker_starts_line",
-    "near_image_object_signal", "caption_reference_only", "caption_lead_in", "caption_asset_metadata_noise", "caption_heading_conflict", "is_table_cell_candidate",
+    "near_image_object_signal", "caption_reference_only_signal", "caption_lead_in_signal", "asset_metadata_noise_signal", "caption_heading_conflict_signal", "is_table_cell_candidate",
     "looks_like_separator", "looks_like_bullet", "looks_like_list_marker_token", "option_like_signal", "is_noise_kind", "is_page_number_candidate",
     "is_header_footer_candidate", "is_artifact_candidate", "looks_like_page_number", "repeated_edge_candidate", "top_zone_candidate", "bottom_zone_candidate",
     "contains_url_or_email", "contains_email", "visible_url_without_annotation", "monospace_hint", "technical_literal_signal", "identifier_like_signal",
     "sentence_like_signal", "citation_reference_signal", "receipt_line_item_signal", "quantity_price_signal", "payment_card_signal", "cleanup_shell_signal",
-    "figure_reference_sentence_signal", "toc_like_anchor", "link_target_internal", "link_target_named", "link_target_uri", "page_number_like_link",
-    "is_link_only_candidate", "has_link_inline", "has_partial_link", "same_paragraph_candidate", "wrapped_candidate", "table_geometry_signal",
+    "figure_reference_sentence_signal", "toc_like_anchor_signal", "link_target_internal", "link_target_named", "link_target_uri", "page_number_like_link",
+    "is_link_only_candidate", "has_link_inline", "has_partial_link", "same_paragraph_candidate", "wrapped_candidate",
 )
 NUMBERS = (
     "word_count", "page_block_count", "line_count", "relative_font_size", "uppercase_ratio", "digit_ratio", "cjk_ratio", "repeated_text_score", "form_key_value_signal",
     "link_text_coverage_ratio", "link_overlap_ratio",
 )
 #: Of these, absent differs from 0.
-DISTANCES = ("near_annotation_distance", "near_dest_distance", "near_link_annotation_distance", "near_image_distance")
+DISTANCES = ("near_annotation_distance", "near_dest_annotation_distance", "near_link_annotation_distance", "near_image_distance")
 
 _MONEY = "(contains_currency OR contains_time OR contains_date)"
 _EDGE_LABELS = "(is_page_number_candidate OR is_header_footer_candidate OR looks_like_page_number)"
 
 #: In dependency order; a later signal may use earlier ones.
 SIGNALS: dict[str, str] = {
-    "trimmed": "trim(text)",
-    "standalone_bullet": "length(trimmed) > 0 AND regexp_like(trimmed, '^[\\s•‣◦⁃∙·]+$')",
-    "numbered_section": "regexp_like(trimmed, '^[0-9]+([.][0-9]+)*\\s+\\S')",
-    "cjk_section": "cjk_ratio >= 0.6e0 AND regexp_like(trimmed, '^(第?[一二三四五六七八九十百千万零〇0-9]+[章节篇部卷]|[章节篇部卷附录])\\S+$')",
-    "numbered_sentence": "word_count >= 6 AND has_terminal_period AND regexp_like(lower(trimmed), '^[0-9]+[.]\\s+[a-z]')",
-    "contact_value": "contains_email OR contains_url_or_email OR regexp_like(trimmed, '^([+]?[0-9]{1,3}[\\s-]?)?([(][0-9]{2,4}[)]|[0-9]{2,4})[\\s-]?[0-9]{3,4}[\\s-]?[0-9]{4}$')",
+    "trimmed": r"regexp_replace(text, '^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$', '')",
+    "standalone_bullet": "length(trimmed) > 0 AND regexp_like(trimmed, '^[\\s\\p{Z}•‣◦⁃∙·]+$')",
+    "numbered_section": "regexp_like(trimmed, '^\\p{Nd}+([.]\\p{Nd}+)*[\\s\\p{Z}]+[^\\s\\p{Z}]')",
+    "cjk_section": "cjk_ratio >= 0.6e0 AND regexp_like(trimmed, '^(第?[一二三四五六七八九十百千万零〇0-9]+[章节篇部卷]|[章节篇部卷附录])[^\\s\\p{Z}]+$')",
+    "numbered_sentence": "word_count >= 6 AND has_terminal_period AND regexp_like(lower(trimmed), '^\\p{Nd}+[.][\\s\\p{Z}]+[a-z]')",
+    "contact_value": "contains_email OR contains_url_or_email OR regexp_like(trimmed, '^([+]?\\p{Nd}{1,3}[\\s\\p{Z}-]?)?([(]\\p{Nd}{2,4}[)]|\\p{Nd}{2,4})[\\s\\p{Z}-]?\\p{Nd}{3,4}[\\s\\p{Z}-]?\\p{Nd}{4}$')",
     "dense_form_contact": "page_block_count >= 40 AND word_count <= 2 AND NOT top_zone_candidate AND NOT bottom_zone_candidate AND contact_value",
     "technical": f"""NOT (contains_url_or_email OR visible_url_without_annotation) AND NOT (repeated_edge_candidate AND repeated_text_score >= 0.5e0)
         AND NOT ({_MONEY} AND NOT (contains_path_like OR identifier_like_signal OR option_like_signal))
@@ -51,7 +56,7 @@ SIGNALS: dict[str, str] = {
     "citation_paragraph": "citation_reference_signal AND sentence_paragraph AND link_text_coverage_ratio <= 0.35e0",
     "receipt_form": "receipt_line_item_signal OR quantity_price_signal OR payment_card_signal",
     "cleanup_heading": "cleanup_shell_signal",
-    "toc_anchor": "toc_like_anchor AND (link_target_internal OR link_target_named)",
+    "toc_anchor": "toc_like_anchor_signal AND (link_target_internal OR link_target_named)",
     "page_anchor": f"page_number_like_link AND (word_count >= 2 OR NOT {_EDGE_LABELS})",
     "link_context": """link_target_uri AND NOT toc_anchor AND NOT page_number_like_link AND NOT contains_path_like
         AND (word_count >= 8 OR (word_count >= 5 AND (has_terminal_period OR contains_clause_punctuation OR ends_with_colon)))""",
@@ -62,7 +67,7 @@ SIGNALS: dict[str, str] = {
         WHEN link_target_uri AND link_text_coverage_ratio >= 0.55e0 THEN TRUE ELSE (link_target_internal OR link_target_named) AND link_overlap_ratio >= 0.55e0 END""",
     "partial_link": "has_partial_link AND NOT is_link_only_candidate AND word_count >= 4 AND (word_count >= 7 OR contains_clause_punctuation OR has_terminal_period)",
     "url_boundary": "NOT receipt_form AND (visible_url_without_annotation OR (contains_url_or_email AND NOT strong_link AND word_count >= 6))",
-    "caption_negative": "caption_reference_only OR caption_lead_in OR caption_asset_metadata_noise OR caption_heading_conflict",
+    "caption_negative": "caption_reference_only_signal OR caption_lead_in_signal OR asset_metadata_noise_signal OR caption_heading_conflict_signal",
     "caption_positive": """NOT caption_negative AND (is_caption_candidate OR (caption_marker_signal AND NOT (is_header_footer_candidate OR is_page_number_candidate))
         OR (caption_marker_starts_line AND near_image_object_signal))""",
     "short_title": f"""NOT (has_terminal_period OR contains_clause_punctuation) AND NOT ({_MONEY} OR looks_like_address OR contains_path_like OR code_like_signal)
@@ -75,7 +80,7 @@ SIGNALS: dict[str, str] = {
     "link_evidence": "strong_link OR (link_target_uri AND link_text_coverage_ratio >= 0.45e0)",
     "list_evidence": "looks_like_bullet OR looks_like_list_marker_token",
     "keep_evidence": "contains_path_like OR code_like_signal OR monospace_hint OR option_like_signal OR technical_literal_signal OR identifier_like_signal",
-    "dest_2": "coalesce(near_dest_distance <= 2, FALSE)", "dest_8": "coalesce(near_dest_distance <= 8, FALSE)",
+    "dest_2": "coalesce(near_dest_annotation_distance <= 2, FALSE)", "dest_8": "coalesce(near_dest_annotation_distance <= 8, FALSE)",
     "link_annotation_2": "coalesce(near_link_annotation_distance <= 2, FALSE)", "annotation_4": "coalesce(near_annotation_distance <= 4, FALSE)",
     "headed": "is_heading_kind OR is_heading_candidate",
 }
@@ -110,7 +115,7 @@ RULES: list[tuple[str, str, str, float]] = [
     ("NOT headed AND short_title", _H, "up", 0.82),
     ("caption_positive AND near_image_object_signal", _C, "up", 0.86), ("caption_positive AND NOT near_image_object_signal", _C, "up", 0.78),
     ("NOT caption_positive AND caption_marker_signal", _C, "up", 0.68),
-    ("caption_negative", _P, "up", 0.78), ("caption_negative", _C, "down", 0.24), ("caption_negative AND caption_asset_metadata_noise", _K, "up", 0.68),
+    ("caption_negative", _P, "up", 0.78), ("caption_negative", _C, "down", 0.24), ("caption_negative AND asset_metadata_noise_signal", _K, "up", 0.68),
     ("is_table_cell_candidate", _T, "up", 0.82),
     ("form_key_value_signal >= 0.5e0", _F, "up", 0.86), (f"form_key_value_signal < 0.5e0 AND {_MONEY}", _F, "up", 0.64),
     *[("ends_with_colon AND word_count >= 5 AND NOT option_like_signal AND NOT looks_like_bullet", *x) for x in ((_P, "up", 0.74), (_F, "down", 0.22))],
@@ -148,7 +153,7 @@ CONTEXT: list[tuple[str, str, float]] = [
     ("is_table_cell_candidate", _T, 0.16), ("form_key_value_signal >= 0.5e0", _F, 0.22), ("(is_page_number_candidate OR is_header_footer_candidate) AND NOT cleanup_heading", _N, 0.12),
     ("looks_like_bullet AND NOT looks_like_separator", _L, 0.12), ("looks_like_list_marker_token AND NOT standalone_bullet", _L, 0.18),
     ("relative_font_size >= 1.12e0 AND line_count <= 1", _H, 0.10), ("cleanup_heading", _H, 0.24), ("same_paragraph_candidate OR wrapped_candidate", _P, 0.10),
-    ("caption_positive", _C, 0.18), ("NOT caption_positive AND caption_marker_signal", _C, 0.16), ("caption_negative", _P, 0.18), ("caption_negative AND caption_asset_metadata_noise", _K, 0.12),
+    ("caption_positive", _C, 0.18), ("NOT caption_positive AND caption_marker_signal", _C, 0.16), ("caption_negative", _P, 0.18), ("caption_negative AND asset_metadata_noise_signal", _K, 0.12),
     *[("contains_url_or_email AND NOT citation_paragraph AND NOT receipt_form", label, v) for label, v in ((_K, 0.10), (_P, 0.04))],
     *[(_first(["page_anchor", "toc_anchor", "strong_link"], i), _X, v) for i, v in enumerate((0.28, 0.30, 0.24))],
     *[(_first(["dest_2 AND short_anchor", "link_annotation_2 AND short_anchor"], i), _X, v) for i, v in enumerate((0.24, 0.20))],
@@ -199,11 +204,21 @@ def _top(prefix: str, labels: tuple[str, ...] = BLOCK_LABELS) -> tuple[str, str]
     return best, "CASE " + " ".join(f"WHEN {prefix}{x} = {best} THEN '{x}'" for x in sorted(labels, reverse=True)[:-1]) + f" ELSE '{min(labels)}' END"
 
 
-def _second(prefix: str, label: str, labels: tuple[str, ...] = BLOCK_LABELS) -> str:
+def _others(prefix: str, label: str, labels: tuple[str, ...] = BLOCK_LABELS) -> str:
     """The best score among the labels other than ``label``."""
     return f"greatest({', '.join(f"CASE WHEN {label} = '{x}' THEN -1e0 ELSE {prefix}{x} END" for x in labels)})"
 
 
+def _first_by_name(prefix: str, best: str, labels: tuple[str, ...] = BLOCK_LABELS) -> str:
+    """The first label by name that has the score ``best``."""
+    return "CASE " + " ".join(f"WHEN {prefix}{x} = {best} THEN '{x}'" for x in sorted(labels)) + " END"
+
+
+def _second_label(prefix: str, first: str, second: str, labels: tuple[str, ...] = BLOCK_LABELS) -> str:
+    """The label after ``first`` in falling order of score, then by name."""
+    return "CASE " + " ".join(f"WHEN {first} <> '{x}' AND {prefix}{x} = {second} THEN '{x}'" for x in sorted(labels)) + " END"
+
+
 def stages(preset: str = "conservative") -> list[dict[str, str]]:
     """Projections, one after another, from features and model_<label> scores to the five strategies' labels."""
     (rule, model, context), gates = PRESETS[preset]
@@ -211,7 +226,7 @@ def stages(preset: str = "conservative") -> list[dict[str, str]]:
     naive = {f"naive_{x}": f"0.5e0 * rule_{x} + 0.5e0 * model_{x}" for x in BLOCK_LABELS}
     pick = lambda k: "CASE " + " ".join(f"WHEN {c} THEN {v[k]}e0" for c, v in zip(GATES, gates)) + " END"
     allowed = " OR ".join(f"(rule_label = '{a}' AND weighted_label IN ({', '.join(repr(b) for b in bs)}))" for a, bs in ALLOWED.items())
-    blocked = f"""concat_ws(',', CASE WHEN table_geometry_signal THEN 'table_geometry' END,
+    blocked = f"""concat_ws(',', CASE WHEN is_table_cell_candidate AND rule_label IN ('{_T}', '{_F}') THEN 'table_geometry' END,
         CASE WHEN is_caption_candidate AND coalesce(near_image_distance > 0, FALSE) THEN 'caption_geometry' END, CASE WHEN rule_label = '{_X}' AND strong_link THEN 'link_payload' END)"""
     weak = " OR ".join((
         f"(weighted_label = '{_H}' AND rule_{_H} < 0.45e0)", f"(weighted_label = '{_T}' AND rule_{_T} < 0.45e0)",
@@ -226,8 +241,11 @@ def stages(preset: str = "conservative") -> list[dict[str, str]]:
         _scores() | _context(),
         combined | naive,
         {f"{p}_label": t[1] for p, t in tops.items()} | {"model_confidence": tops["model"][0], "weighted_best": tops["weighted"][0]},
-        {"weighted_margin": f"weighted_best - {_second('weighted_', 'weighted_label')}", "model_margin": f"model_confidence - {_second('model_', 'model_label')}",
+        {"weighted_next": _others("weighted_", "weighted_label"), "model_next": _others("model_", "model_label"),
+         "weighted_first": _first_by_name("weighted_", "weighted_best"), "model_first": _first_by_name("model_", "model_confidence"),
          "least_confidence": pick(0), "least_gap": pick(1), "hard_constraints": blocked},
+        {"weighted_margin": "weighted_best - weighted_next", "model_margin": "model_confidence - model_next",
+         "weighted_second": _second_label("weighted_", "weighted_first", "weighted_next"), "model_second": _second_label("model_", "model_first", "model_next")},
         {"blocked_reason": reason},
         {"gated_label": "CASE WHEN blocked_reason IS NULL THEN weighted_label ELSE rule_label END"},
     ]
@@ -248,20 +266,31 @@ def _merged(steps: list[dict[str, str]]) -> list[dict[str, str]]:
     return out
 
 
+def _input(features: DataFrame, name: str, kind: str) -> str:
+    """SQL of an input column as a flag, a number or a distance; a column that is not there counts as absent."""
+    absent = {"flag": "FALSE", "number": "0e0", "distance": "cast(null as double)"}[kind]
+    if name not in features.columns:
+        return f"{absent} as `{name}`"
+    held = features.schema[name].dataType.typeName()
+    if held == "boolean":
+        value = f"coalesce(`{name}`, FALSE)" if kind == "flag" else f"cast(`{name}` as int) * 1e0"
+        return f"{value} as `{name}`" if kind != "number" else f"coalesce({value}, 0e0) as `{name}`"
+    value = f"cast(nullif(`{name}`, '') as double)" if held == "string" else f"cast(`{name}` as double)"
+    return f"{dict(flag=f'coalesce({value}, 0e0) >= 0.5e0', number=f'coalesce({value}, 0e0)', distance=value)[kind]} as `{name}`"
+
+
 def predicted(features: DataFrame, preset: str = "conservative") -> DataFrame:
-    """features with signals, scores and the labels of the strategies rule, model, weighted, naive and gated. Absent features are 0 or false."""
-    kinds = {c: "boolean" for c in FLAGS} | {c: "double" for c in (*NUMBERS, *(f"model_{x}" for x in BLOCK_LABELS))}
-    df = with_default_columns(features, kinds)
-    df = df.selectExpr("*", *[f"cast(null as double) as {c}" for c in DISTANCES if c not in df.columns])
-    for layer in _merged(stages(preset)):
+    """features with signals, scores and the labels of the strategies rule, model, weighted, naive and gated.
+
+    Inputs come back as flags and numbers. Further columns are kept, but one that
+    is named like a result is replaced by it.
+    """
+    kinds = {c: "flag" for c in FLAGS} | {c: "number" for c in (*NUMBERS, *(f"model_{x}" for x in BLOCK_LABELS))} | {c: "distance" for c in DISTANCES}
+    layers = _merged(stages(preset))
+    made = {name for layer in layers for name in layer}
+    kept = [f"`{c}`" for c in features.columns if c not in kinds and c not in made and c != "text"]
+    text = "coalesce(cast(text as string), '') as text" if "text" in features.columns else "'' as text"
+    df = features.selectExpr(*kept, text, *[_input(features, c, kind) for c, kind in kinds.items()])
+    for layer in layers:
         df = df.selectExpr("*", *[f"{sql.replace(chr(92), chr(92) * 2)} as {name}" for name, sql in layer.items()])
     return df
-
-
-def predicted_sql(source: str, preset: str = "conservative") -> str:
-    """The same as DuckDB SQL over a FROM item that has every feature column."""
-    sql = f"SELECT * FROM {source}"
-    for layer in _merged(stages(preset)):
-        columns = ", ".join(f"{x.replace('regexp_like', 'regexp_matches')} AS {name}" for name, x in layer.items())
-        sql = f"SELECT *, {columns} FROM ({sql})"
-    return sql

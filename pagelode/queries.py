@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as T
 from pagelode.operators import check_results, documents, layout, manifests, metrics, models, relations
-from pagelode.plans import block_rules
-from pagelode.schemas import BLOCK_LABELS, ROW_KEY
+from pagelode.plans import block_rules, gate_oracle
+from pagelode.schemas import ROW_KEY
 from pagelode.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,34 +127,45 @@ def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with text and the features that lines have; link and caption features are dealt out by row number so that every rule is met."""
+    """Lines with the features that lines have; the others are dealt out by row number, nulls and cells of text among them, so that every rule is met."""
     return spark.sql(_block_sql("{docs}", "regexp_like"), docs=documents.lines(table(spark, sf_dir, "documents")).withColumnRenamed("line", "text"))
 
 
-_DEALT = [c for c in block_rules.FLAGS if c not in ("contains_clause_punctuation", "has_terminal_period", "ends_with_colon", "looks_like_bullet", "contains_url_or_email", "contains_email", "top_zone_candidate", "bottom_zone_candidate")]
+_OF_LINES = {
+    "contains_clause_punctuation": "{like}(text, '[,;]')", "has_terminal_period": "{like}(text, '[.]$')", "ends_with_colon": "{like}(text, ':$')", "looks_like_bullet": "{like}(text, '^[-*•]')",
+    "contains_url_or_email": "{like}(text, 'https?://|@')", "contains_email": "{like}(text, '@')", "top_zone_candidate": "line_no < 2", "bottom_zone_candidate": "line_no % 9 = 8",
+    "word_count": "(length(text) - length(replace(text, ' ', '')) + 1) * 1e0", "page_block_count": "(count(*) OVER (PARTITION BY doc_id)) * 1e0", "line_count": "1e0 + line_no % 2",
+    "relative_font_size": "9e-1 + (line_no % 4) / 10e0",
+}
 
 
 def _block_sql(source: str, like: str) -> str:
     n = "(doc_id * 31 + line_no * 7)"
-    dealt = ", ".join(f"({n} * {17 + 2 * i} + {n} // 3 * {i + 1}) % 11 < 2 AS {c}" for i, c in enumerate(_DEALT))
-    scored = ", ".join(f"(({n} * {23 + 4 * i} + line_no) % 100) / 100e0 AS model_{x}" for i, x in enumerate(BLOCK_LABELS))
-    near = ", ".join(f"CASE WHEN ({n} + {i}) % 3 = 0 THEN (({n} * {3 + i}) % 12) * 1e0 END AS {c}" for i, c in enumerate(block_rules.DISTANCES))
-    ratios = ", ".join(f"(({n} * {13 + 2 * i}) % 21) / 20e0 AS {c}" for i, c in enumerate(("uppercase_ratio", "digit_ratio", "cjk_ratio", "repeated_text_score", "form_key_value_signal", "link_text_coverage_ratio", "link_overlap_ratio")))
-    sql = f"""SELECT doc_id, line_no, text, {like}(text, '[,;]') AS contains_clause_punctuation, {like}(text, '[.]$') AS has_terminal_period, {like}(text, ':$') AS ends_with_colon,
-      {like}(text, '^[-*•]') AS looks_like_bullet, {like}(text, 'https?://|@') AS contains_url_or_email, {like}(text, '@') AS contains_email, line_no < 2 AS top_zone_candidate,
-      line_no % 9 = 8 AS bottom_zone_candidate, (length(text) - length(replace(text, ' ', '')) + 1) * 1e0 AS word_count, (count(*) OVER (PARTITION BY doc_id)) * 1e0 AS page_block_count,
-      1e0 + line_no % 2 AS line_count, 9e-1 + (line_no % 4) / 10e0 AS relative_font_size, {ratios}, {near}, {dealt}, {scored} FROM {source} WHERE text <> ''"""
+    deal = lambda i, k: f"({n} * {17 + 2 * i} + {n} // 3 * {i + 1}) % {k}"
+    columns = {k: v.format(like=like) for k, v in _OF_LINES.items()}
+    for i, c in enumerate(x for x in gate_oracle.BOOLEANS if x not in _OF_LINES):
+        columns[c] = f"CASE WHEN ({n} + {i}) % 19 <> 0 THEN {deal(i, 29)} < 2 END"
+    for i, c in enumerate(gate_oracle.FLAG_CELLS):
+        columns[c] = f"CASE {deal(i + 60, 13)} WHEN 0 THEN '1' WHEN 1 THEN '0.6' WHEN 2 THEN '' WHEN 3 THEN '0.4' WHEN 4 THEN '0' END"
+    for i, c in enumerate(x for x in gate_oracle.NUMBERS if x not in _OF_LINES):
+        columns[c] = f"CASE WHEN ({n} + {i}) % 17 <> 0 THEN {deal(i + 80, 101)} / 100e0 END" if c.startswith("model_") else f"CASE WHEN ({n} + {i}) % 17 <> 0 THEN ({n} * {13 + 2 * i}) % 21 / 20e0 END"
+    columns["digit_ratio"] = f"CASE {deal(7, 4)} WHEN 0 THEN '0.75' WHEN 1 THEN '' WHEN 2 THEN '0.2' END"
+    for i, c in enumerate(gate_oracle.DISTANCES):
+        columns[c] = f"CASE WHEN ({n} + {i}) % 3 = 0 THEN ({n} * {3 + i}) % 12 * 1e0 END"
+    columns["near_dest_annotation_distance"] = f"CASE {deal(3, 6)} WHEN 0 THEN '1' WHEN 1 THEN '2.0' WHEN 2 THEN '7.5' WHEN 3 THEN '' END"
+    text = f"CASE {n} % 23 WHEN 0 THEN NULL WHEN 1 THEN chr(10) || '2.1' || chr(9) || text WHEN 2 THEN ' • ' WHEN 3 THEN ' 3. ' || lower(text) WHEN 4 THEN 'Open ' || substr(text, 1, 9) ELSE text END"
+    sql = f"SELECT doc_id, line_no, {text} AS text, {', '.join(f'{v} AS {k}' for k, v in columns.items())} FROM {source}"
     return sql if like == "regexp_matches" else sql.replace("//", "DIV").replace("https?:DIV", "https?://")
 
 
 _STRATEGIES = ("rule", "model", "weighted", "naive", "gated")
-_GATE_COLUMNS = [*[f"{s}_label" for s in _STRATEGIES], "blocked_reason", "rule_paragraph", "rule_link_text", "context_paragraph", "weighted_best", "weighted_margin", "model_margin"]
-_BLOCKS = _block_sql(f"(SELECT doc_id, line_no, line AS text FROM ({_LINES}))", "regexp_matches")
+_GATE_LABELS = [*[f"{s}_label" for s in _STRATEGIES], "model_second", "weighted_second", "blocked_reason"]
+_GATE_SCORES = [*[f"{k}_{x}" for k in ("rule", "context", "weighted") for x in gate_oracle.LABELS], "weighted_best", "weighted_margin", "model_confidence", "model_margin"]
+_BLOCKS = f"({_block_sql(f'(SELECT doc_id, line_no, line AS text FROM ({_LINES}))', 'regexp_matches')})"
 
 
 def _gated(preset: str) -> str:
-    rounded = [f"round({c}, 6) AS {c}" if c.startswith(("weighted_b", "weighted_m", "model_m", "rule_p", "rule_link_text", "context")) and not c.endswith("label") else c for c in _GATE_COLUMNS]
-    return f"SELECT doc_id, line_no::BIGINT AS line_no, {', '.join(rounded)} FROM ({block_rules.predicted_sql(f'({_BLOCKS})', preset)})"
+    return f"SELECT doc_id, line_no::BIGINT AS line_no, {', '.join(_GATE_LABELS)}, {', '.join(f'round({c}, 6) AS {c}' for c in _GATE_SCORES)} FROM ({gate_oracle.gate_sql(_BLOCKS, preset)})"
 
 
 def _predicted(spark: SparkSession, sf_dir: str, preset: str = "conservative") -> DataFrame:
@@ -162,9 +173,7 @@ def _predicted(spark: SparkSession, sf_dir: str, preset: str = "conservative") -
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    numeric = [c for c in _GATE_COLUMNS if not c.endswith("label") or c == "rule_link_text"]
-    numeric = [c for c in numeric if c != "blocked_reason"]
-    return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), *[F.round(c, 6).alias(c) if c in numeric else F.col(c) for c in _GATE_COLUMNS])
+    return df.select("doc_id", F.col("line_no").cast("long").alias("line_no"), *_GATE_LABELS, *[F.round(c, 6).alias(c) for c in _GATE_SCORES])
 
 
 @query(_gated("conservative"))
@@ -177,12 +186,12 @@ def block_gate_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_predicted(spark, sf_dir, "tuned"))
 
 
-@query(f"SELECT rule_label, model_label, count(*) AS n FROM ({block_rules.predicted_sql(f'({_BLOCKS})')}) GROUP BY ALL")
+@query(f"SELECT rule_label, model_label, count(*) AS n FROM ({gate_oracle.gate_sql(_BLOCKS)}) GROUP BY ALL")
 def conflict_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.conflicts(_predicted(spark, sf_dir), "rule_label", "model_label")
 
 
-_LONG = f"SELECT doc_id % 20 AS sample, gated_label AS gold, s AS strategy, CASE s {' '.join(f"WHEN '{s}' THEN {s}_label" for s in _STRATEGIES[:4])} END AS pred FROM ({block_rules.predicted_sql(f'({_BLOCKS})')}), (SELECT unnest({list(_STRATEGIES[:4])}) AS s)"
+_LONG = f"SELECT doc_id % 20 AS sample, gated_label AS gold, s AS strategy, CASE s {' '.join(f"WHEN '{s}' THEN {s}_label" for s in _STRATEGIES[:4])} END AS pred FROM ({gate_oracle.gate_sql(_BLOCKS)}), (SELECT unnest({list(_STRATEGIES[:4])}) AS s)"
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -654,39 +663,112 @@ def ocr_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checks(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
+    """A check a order: lists in a fixed order, with repeated ids, blank message ids, order and content changes, and properties that only one side has."""
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3" if new else "l_linenumber <> 1")
-    s = lambda c: F.col(c).cast("string")
-    item = F.struct(s("l_linenumber").alias("id"), F.lit("true").alias("isSpineItem"), s("l_linenumber").alias("spineIndex"), (s("l_partkey") if new else s("l_quantity")).alias("checkSum"), F.array(s("l_suppkey")).cast("string").alias("referencedItems"))
-    message = F.struct(F.concat(F.lit("M"), s("l_linenumber")).alias("ID"), F.when(F.col("l_linenumber") == 2, "ERROR").otherwise("WARNING").alias("severity"), F.col("l_returnflag").alias("message"),
-                       F.lit(0).alias("additionalLocations"), F.array(F.struct(s("l_suppkey").alias("fileName"), F.col("l_linenumber").alias("line"), F.lit(1).alias("column"))).alias("locations"))
-    packed = rows.groupBy(F.col("l_orderkey").alias("file")).agg(F.collect_list(item).alias("items"), F.collect_list(message).alias("messages"), F.count("*").cast("string").alias("n"))
-    return packed.select("file", F.to_json(F.struct(F.struct("n").alias("publication"), "items", "messages")).alias("result"))
+    s, p, i = (lambda c: F.col(c).cast("string")), F.col("l_partkey"), F.col("l_linenumber")
+    only_new = lambda c, a, b: F.when(c, a).otherwise(b) if new else b
+    item = F.struct(
+        s("l_linenumber").alias("id"), (p % 4 != 0).alias("isSpineItem"), only_new(F.col("l_suppkey") % 3 == 0, i + 10, i + 0).cast("string").alias("spineIndex"),
+        only_new(p % 3 == 0, F.concat(F.lit("n"), p), F.concat(F.lit("c"), p)).alias("checkSum"), F.concat(F.lit("f"), i, F.lit(".xhtml")).alias("fileName"),
+        only_new(p % 5 == 0, F.lit("image"), F.lit(None).cast("string")).alias("mediaType"), F.transform(F.array(F.col("l_suppkey") % 7, *[p % 3] * new), lambda x: x.cast("string")).alias("referencedItems"),
+    )
+    place = F.struct(F.when(F.col("l_suppkey") % 11 != 0, s("l_suppkey")).alias("fileName"), F.col("l_linenumber").alias("line"), only_new(p % 7 == 0, F.lit(2), F.lit(1)).alias("column"))
+    message = F.struct(
+        F.when(i == 3, "").otherwise(F.concat(F.lit("M"), i)).alias("ID"), only_new(p % 5 == 0, F.lit("FATAL"), F.when(i == 2, "ERROR").otherwise("WARNING")).alias("severity"), F.col("l_returnflag").alias("message"),
+        (p % 3).alias("additionalLocations"), F.array(place).alias("locations"),
+    )
+    order = F.struct(i, p, F.col("l_suppkey"), F.col("l_returnflag"), F.col("l_quantity"))
+    ordered = lambda part: F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), part.alias("part")))), lambda x: x["part"])
+    packed = rows.groupBy(F.col("l_orderkey").alias("file")).agg(ordered(item).alias("items"), ordered(message).alias("messages"), F.count("*").cast("string").alias("n"))
+    mine = F.when(F.col("file") % 2 == 0, "en").alias("language") if new else F.when(F.col("file") % 3 == 0, "1").alias("isbn")
+    return packed.select("file", F.to_json(F.struct(F.struct(F.col("n").alias("nSpines"), F.lit("t").alias("title"), mine).alias("publication"), "items", "messages")).alias("result"))
+
+
+def _side(x: str) -> str:
+    """CTEs of one side's entries, from the rows themselves."""
+    new = x == "b"
+    pick = lambda c, a, b: f"CASE WHEN {c} THEN {a} ELSE {b} END" if new else b
+    by = "p, s, r, q"
+    refs = "[s % 7, p % 3]" if new else "[s % 7]"
+    return f"""{x}r AS (SELECT l_orderkey AS f, l_linenumber AS i, l_partkey AS p, l_suppkey AS s, l_returnflag AS r, l_quantity AS q FROM lineitem WHERE {'l_linenumber <= 3' if new else 'l_linenumber <> 1'}),
+{x}i AS (SELECT *, i::VARCHAR AS id, ({pick('s % 3 = 0', 'i + 10', 'i')})::VARCHAR AS place, {pick('p % 3 = 0', "'n' || p", "'c' || p")} AS checksum, {pick('p % 5 = 0', "'image'", 'NULL')} AS media, {refs} AS refs
+  FROM {x}r QUALIFY row_number() OVER (PARTITION BY f, i ORDER BY p DESC, s DESC, r DESC, q DESC) = 1),
+{x}m AS (SELECT *, CASE WHEN i = 3 THEN 'BlankID_' || row_number() OVER (PARTITION BY f, i ORDER BY {by}) ELSE 'M' || i END AS id, {pick('p % 5 = 0', "'FATAL'", "CASE WHEN i = 2 THEN 'ERROR' ELSE 'WARNING' END")} AS severity,
+  {pick('p % 7 = 0', '2', '1')} AS col FROM {x}r),
+{x}d AS (SELECT *, concat_ws('|', severity, r, p % 3, s, col) AS body FROM {x}m QUALIFY row_number() OVER (PARTITION BY f, id ORDER BY {by}) = 1),
+{x} AS (
+  SELECT f, 'Pub' AS level, '' AS id, 'nSpines' AS property, count(*)::VARCHAR AS value, count(*)::VARCHAR AS shown FROM {x}r GROUP BY f
+  UNION ALL SELECT DISTINCT f, 'Pub', '', 'title', 't', 't' FROM {x}r
+  UNION ALL SELECT DISTINCT f, 'Pub', '', {"'language', 'en', 'en'" if new else "'isbn', '1', '1'"} FROM {x}r WHERE f % {2 if new else 3} = 0
+  UNION ALL SELECT f, 'Order', id, '', place, place FROM {x}i WHERE p % 4 <> 0
+  UNION ALL SELECT f, 'Content', id, '', checksum, 'f' || i || '.xhtml' FROM {x}i WHERE p % 4 <> 0
+  UNION ALL SELECT f, 'Mani', id, '', concat_ws('|', p % 4 <> 0, place, checksum, coalesce(media, ''), refs), NULL FROM {x}i
+  UNION ALL SELECT f, 'ItemProperty', id, 'isSpineItem', (p % 4 <> 0)::VARCHAR, (p % 4 <> 0)::VARCHAR FROM {x}i
+  UNION ALL SELECT f, 'ItemProperty', id, 'spineIndex', place, place FROM {x}i
+  UNION ALL SELECT f, 'ItemProperty', id, 'checkSum', checksum, 'f' || i || '.xhtml' FROM {x}i
+  UNION ALL SELECT f, 'ItemProperty', id, 'fileName', 'f' || i || '.xhtml', 'f' || i || '.xhtml' FROM {x}i
+  UNION ALL SELECT f, 'ItemProperty', id, 'mediaType', media, media FROM {x}i WHERE media IS NOT NULL
+  UNION ALL SELECT f, 'Refs', id, unnest(list_distinct(refs))::VARCHAR, '', '' FROM {x}i
+  UNION ALL SELECT f, 'Mess', id, '', body, NULL FROM {x}d
+  UNION ALL SELECT f, 'MessageProperty', id, k, v, v FROM (SELECT f, id, unnest(['severity', 'message', 'additionalLocations']) AS k, unnest([severity, r, (p % 3)::VARCHAR]) AS v FROM {x}d)
+  UNION ALL SELECT f, 'Loc', id, CASE WHEN s % 11 = 0 THEN id || 'HasNullFileNameLoc' ELSE s::VARCHAR END || '-' || i || '-' || col, '', '' FROM {x}d
+  UNION ALL SELECT f, 'All', '', 'messages', string_agg(CASE WHEN i = 3 THEN '' ELSE id END || concat_ws('|', severity, r, p % 3, s, col), '/' ORDER BY i, {by}), NULL FROM {x}m GROUP BY f)"""
+
+
+_DIFFS = f"""{_side('a')}, {_side('b')},
+d AS (SELECT coalesce(a.f, b.f) AS file, coalesce(a.level, b.level) AS level, coalesce(a.id, b.id) AS id, coalesce(a.property, b.property) AS property,
+  CASE WHEN a.f IS NULL THEN 'added' WHEN b.f IS NULL THEN 'removed' WHEN a.value IS NOT DISTINCT FROM b.value THEN 'unchanged' ELSE 'changed' END AS status, a.shown AS old_value, b.shown AS new_value
+  FROM a FULL JOIN b ON a.f = b.f AND a.level = b.level AND a.id = b.id AND a.property = b.property)"""
+_mark = lambda letters, c: f"CASE WHEN {c} > 0 THEN '{letters}' || {c} ELSE 'x{letters}' END"
+_three = f"concat_ws('-', {_mark('A', 'n_added')}, {_mark('R', 'n_removed')}, {_mark('C', 'n_changed')})"
+_COMPARED = f"""{_DIFFS},
+c AS (SELECT file, CASE level WHEN 'Order' THEN 'Spine' ELSE level END AS level, count(*) FILTER (status = 'added') AS n_added, count(*) FILTER (status = 'removed') AS n_removed, count(*) FILTER (status = 'changed') AS n_changed,
+  count(*) FILTER (status = 'unchanged') AS n_unchanged FROM d WHERE level IN ('Pub', 'Order', 'Mani', 'Refs', 'Mess', 'Loc') GROUP BY ALL),
+e AS (SELECT file, count(*) FILTER (level = 'Content' AND status = 'changed') AS cc, max(new_value) FILTER (level = 'Pub' AND property = 'nSpines') AS spines, count(*) FILTER (level = 'All' AND status = 'unchanged') > 0 AS same FROM d GROUP BY file),
+g AS (SELECT e.*, level, coalesce(n_added, 0) AS n_added, coalesce(n_removed, 0) AS n_removed, coalesce(n_changed, 0) AS n_changed, coalesce(n_unchanged, 0) AS n_unchanged, CASE WHEN level = 'Spine' THEN cc ELSE 0 END AS n_content
+  FROM (SELECT *, unnest(['Pub', 'Spine', 'Mani', 'Refs', 'Mess', 'Loc']) AS level FROM e) e LEFT JOIN c USING (file, level)),
+compared AS (SELECT file, level, n_added, n_removed, n_changed, n_unchanged, n_content, CASE
+  WHEN level = 'Spine' AND n_added + n_removed + n_changed + cc = 0 THEN 'Spine==-N' || coalesce(spines, 'None')
+  WHEN level = 'Spine' THEN concat_ws('-', 'Spine-N' || coalesce(spines, 'None'), {_mark('U', 'n_unchanged')}, {_mark('A', 'n_added')}, {_mark('R', 'n_removed')}, {_mark('OC', 'n_changed')}, {_mark('CC', 'cc')})
+  WHEN level = 'Mess' THEN CASE WHEN same THEN 'Mess=!' ELSE 'Mess-' END || {_three}
+  WHEN n_added + n_removed + n_changed = 0 THEN level || '==' ELSE level || '-' || {_three} END AS code FROM g)"""
+_ONE_SIDE = f"WITH {_side('b')}"
 
 
-@query("SELECT l_orderkey AS file, count(*) FILTER (l_linenumber = 2) AS n_errors, count(*) FILTER (l_linenumber <> 2) AS n_warnings, count(*) FILTER (l_linenumber = 2) = 0 AS is_clean FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3) GROUP BY l_orderkey")
+@query(f"""
+{_ONE_SIDE}, k AS (SELECT f, severity, 1 + CASE WHEN p % 3 <> 0 THEN p % 3 - 1 ELSE 0 END AS k FROM bd)
+SELECT f AS file, coalesce(sum(k) FILTER (severity IN ('FATAL', 'ERROR')), 0)::BIGINT AS n_errors, coalesce(sum(k) FILTER (severity = 'WARNING'), 0)::BIGINT AS n_warnings,
+  coalesce(sum(k) FILTER (severity IN ('FATAL', 'ERROR')), 0) = 0 AS is_clean FROM k GROUP BY f
+""")
 def check_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_results.outcome(_checks(spark, sf_dir, True))
 
 
-@query("SELECT CASE WHEN l_linenumber = 2 THEN 'ERROR' ELSE 'WARNING' END AS severity, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3) GROUP BY 1")
+@query(f"{_ONE_SIDE} SELECT severity, count(*) AS n FROM bd GROUP BY severity")
 def shown_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_results.shown(check_results.messages(_checks(spark, sf_dir, True)), warnings=True).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH o AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS i FROM lineitem WHERE l_linenumber <> 1), n AS (SELECT DISTINCT l_orderkey AS f, l_linenumber AS i FROM lineitem WHERE l_linenumber <= 3)
-SELECT coalesce(o.f, n.f) AS file, count(*) FILTER (o.i IS NULL) AS n_added, count(*) FILTER (n.i IS NULL) AS n_removed, 0::BIGINT AS n_changed,
-  CASE WHEN count(*) FILTER (o.i IS NULL OR n.i IS NULL) = 0 THEN 'Spine==' ELSE 'Spine-A' || count(*) FILTER (o.i IS NULL) || '-R' || count(*) FILTER (n.i IS NULL) || '-C0' END AS code FROM o FULL JOIN n ON o.f = n.f AND o.i = n.i GROUP BY 1
-""")
+@query(f"WITH {_COMPARED} SELECT file, n_added, n_removed, n_changed, n_unchanged, n_content, code FROM compared WHERE level = 'Spine'")
 def check_spine_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_results.compare(_checks(spark, sf_dir, False), _checks(spark, sf_dir, True)).where("level = 'Spine'").drop("level")
 
 
-@query()
+@query(f"WITH {_COMPARED} SELECT * FROM compared")
 def check_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_results.compare(_checks(spark, sf_dir, False), _checks(spark, sf_dir, True))
 
 
+@query(f"WITH {_COMPARED} SELECT file, sum(n_added + n_removed + n_changed) FILTER (level IN ('Pub', 'Mani')) = 0 AS is_unchanged FROM compared GROUP BY file")
+def check_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_results.unchanged(check_results.compare(_checks(spark, sf_dir, False), _checks(spark, sf_dir, True)))
+
+
+@query(f"WITH {_DIFFS} SELECT * FROM d WHERE level NOT IN ('Mani', 'Mess', 'All')")
+def check_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_results.differences(_checks(spark, sf_dir, False), _checks(spark, sf_dir, True)).where("level not in ('Mani', 'Mess', 'All')")
+
+
 # What SQL cannot express, and streaming forms
 
 

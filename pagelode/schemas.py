@@ -6,14 +6,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
+#: The parts of a row's key, the labels of blocks.
 ROW_KEY = ("record_kind", "page_index", "block_index", "line_index", "next_page_index", "next_block_index", "next_line_index")
 BLOCK_LABELS = ("paragraph", "heading", "table_like", "form_row", "list_item", "caption", "footer_header_noise", "separator", "link_text", "keep_as_text")
-#: Older label names and what they are called now.
+#: Older label names and what they are called now.
 LEGACY_LABELS = {
     "BodyText": "paragraph", "Heading": "heading", "Noise": "footer_header_noise", "PageNumber": "footer_header_noise",
     "HeaderFooter": "footer_header_noise", "Caption": "caption", "TableLike": "table_like", "Unknown": "keep_as_text",
 }
-BLOCK_ROW = ("sample_id", "source_dataset", "source_page_id", "source_region_id", "doc_category", "page_no", "source_label", "target_label", "text", "bbox", "split", "text_status", "notes")
 
 
 def require_columns(df: DataFrame, names: Iterable[str], exact: bool = False) -> DataFrame:

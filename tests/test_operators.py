@@ -5,12 +5,13 @@ import random
 import zipfile
 
 import pytest
+import oracle
 from oracle import rows
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as T
 from pagelode.operators import check_results, documents, layout, manifests, metrics, relations
-from pagelode.plans import block_rules
+from pagelode.plans import block_rules, gate_oracle
 from pagelode.schemas import BLOCK_LABELS, LEGACY_LABELS
 from pagelode.streaming import streams
 
@@ -47,7 +48,7 @@ BASE = {"text": "Some words", "word_count": 2.0}
 
 def decide(spark, **features):
     row = BASE | features
-    kinds = {c: "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "double" for c, v in row.items()}
+    kinds = {c: "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) or c == "text" else "double" for c, v in row.items()}
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {k}" for c, k in kinds.items()))
     return block_rules.predicted(df).first()
 
@@ -59,20 +60,61 @@ def test_rules(spark):
     assert (r.rule_heading, r.rule_form_row, r.rule_label) == (0.28, 0.74, "form_row")
     r = decide(spark, looks_like_bullet=True, digit_ratio=0.6)
     assert (r.rule_list_item, r.rule_footer_header_noise) == (0.16, 0.58)
-    assert decide(spark, near_dest_distance=2.0).rule_link_text == 0.96 and decide(spark).rule_link_text == 0.12  # an absent distance is not 0
+    assert decide(spark, near_dest_annotation_distance=2.0).rule_link_text == 0.96 and decide(spark).rule_link_text == 0.12  # an absent distance is not 0
+    assert decide(spark, toc_like_anchor_signal=True, link_target_named=True).rule_link_text == 0.95
+    assert decide(spark, text=None, looks_like_list_marker_token=True).rule_list_item == 0.82
+    assert decide(spark, looks_like_bullet=True, looks_like_separator=None).rule_list_item == 0.72
+    assert decide(spark, text="\n1 Intro\u3000", top_zone_candidate=True).rule_heading == 0.82
+    assert decide(spark, is_heading_kind="0.5", contains_time="", word_count="2").rule_heading == 0.96
+    r = decide(spark, model_heading=0.9, model_paragraph=0.5, model_caption=0.5)
+    assert (r.model_label, r.model_second, r.model_margin) == ("heading", "caption", pytest.approx(0.4))
     r = decide(spark, identifier_like_signal=True)
     assert (r.rule_keep_as_text, r.rule_paragraph, r.context_keep_as_text) == (0.90, 0.48, pytest.approx(0.20))
 
 
 def test_gate(spark):
     r = decide(spark, is_heading_kind=True, has_terminal_period=True, model_paragraph=1.0, model_heading=0.1, contains_currency=False)
-    assert r.rule_label == "heading" and r.weighted_label == r.gated_label and r.blocked_reason is None
-    r = decide(spark, is_heading_kind=True, looks_like_address=True, table_geometry_signal=True, model_form_row=1.0)
-    assert r.rule_label == "paragraph" and (r.blocked_reason in (None, "table_geometry"))
+    assert (r.rule_label, r.weighted_label, r.blocked_reason, r.gated_label) == ("heading", "paragraph", None, "paragraph")
     r = decide(spark, is_table_cell_candidate=True, model_paragraph=1.0, same_paragraph_candidate=True, has_terminal_period=True)
-    assert (r.rule_label, r.blocked_reason, r.gated_label) == ("table_like", None, "table_like") or r.blocked_reason in ("conflict_policy", "weighted_margin", "model_confidence")
+    assert (r.rule_label, r.weighted_label, r.blocked_reason, r.gated_label) == ("table_like", "paragraph", "table_geometry", "table_like")
+    r = decide(spark, is_table_cell_candidate=True, contains_currency=True, model_form_row=1.0)
+    assert (r.rule_label, r.weighted_label, r.hard_constraints, r.blocked_reason, r.gated_label) == ("table_like", "form_row", "table_geometry", "table_geometry", "table_like")
     r = decide(spark)
-    assert (r.model_confidence, r.model_label) == (0.0, max(BLOCK_LABELS))  # the last of equals
+    assert (r.model_confidence, r.model_label, r.model_second) == (0.0, max(BLOCK_LABELS), sorted(BLOCK_LABELS)[1])  # the last of equals; the second by name
+
+
+@pytest.mark.parametrize("preset", ["conservative", "tuned"])
+def test_gate_equals_its_sql_on_random_rows(spark, tmp_path, preset):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    assert {*gate_oracle.BOOLEANS, *gate_oracle.FLAG_CELLS} == set(block_rules.FLAGS)
+    assert {*gate_oracle.DISTANCES, *gate_oracle.DISTANCE_CELLS} == set(block_rules.DISTANCES)
+    assert {*gate_oracle.NUMBERS, *gate_oracle.NUMBER_CELLS} == {*block_rules.NUMBERS, *[f"model_{x}" for x in BLOCK_LABELS]}
+    rng, n = random.Random(11), 4000
+    texts = [None, "", " \t", "\n1 Intro", "2.3 \u3000Scope", "第三章绪论", "\xa0• ‣ ", "1. the words go on and end here.", "Go to page 4", "(02) 555 1234", "a@b.org", "Open it", "plain words"]
+    share = [rng.choice([0.03, 0.1, 0.25]) for _ in range(n)]
+    columns = {"doc_id": list(range(n)), "line_no": [0] * n, "text": [rng.choice(texts) for _ in range(n)]}
+    for c in gate_oracle.BOOLEANS:
+        columns[c] = [None if rng.random() < 0.05 else rng.random() < share[i] for i in range(n)]
+    for c in gate_oracle.FLAG_CELLS:
+        columns[c] = [rng.choice(["1", "0.5", "2"]) if rng.random() < share[i] else rng.choice([None, "", "0", "0.49"]) for i in range(n)]
+    numbers = {"word_count": [0, 1, 2, 3, 4, 5, 6, 7, 8, 16, 20], "page_block_count": [1, 8, 9, 30, 40, 50], "line_count": [0, 1, 2], "relative_font_size": [0.9, 0.95, 1.0, 1.02, 1.12, 1.15, 1.3]}
+    for c in gate_oracle.NUMBERS:
+        columns[c] = [None if rng.random() < 0.05 else float(rng.choice(numbers[c])) if c in numbers else rng.choice([0.0, 0.3, 0.34, 0.35, 0.45, 0.5, 0.55, 0.6, 0.75, 0.85, 0.9, 1.0, rng.random()]) for _ in range(n)]
+    columns["digit_ratio"] = [rng.choice([None, "", "0.5", "0.9", "0.1"]) for _ in range(n)]
+    for c in gate_oracle.DISTANCES:
+        columns[c] = [rng.choice([None, 0.0, 2.0, 4.0, 4.5, 8.0]) for _ in range(n)]
+    columns["near_dest_annotation_distance"] = [rng.choice([None, "", "2", "2.5", "8", "9"]) for _ in range(n)]
+    path = str(tmp_path / "rows.parquet")
+    pq.write_table(pa.table(columns), path)
+    shown = ["doc_id", *[f"{k}_{x}" for k in ("rule", "context", "weighted", "naive") for x in BLOCK_LABELS], *[f"{s}_label" for s in ("rule", "model", "weighted", "naive", "gated")],
+             "model_second", "weighted_second", "weighted_margin", "model_margin", "model_confidence", "blocked_reason"]
+    got = block_rules.predicted(spark.read.parquet(path), preset)
+    assert len({r.gated_label for r in got.select("gated_label").distinct().collect()}) == len(BLOCK_LABELS)
+    con = duckdb.connect()
+    oracle.same(got.select(*shown), f"SELECT {', '.join(shown)} FROM ({gate_oracle.gate_sql(repr(path), preset)})", con)
 
 
 def test_cells_of_nodes_and_their_children(spark):
@@ -122,15 +164,27 @@ def result(**parts):
 
 
 def test_check_diff(spark):
-    item = lambda i, s, refs="[]": {"id": i, "isSpineItem": "true", "spineIndex": s, "checkSum": "c" + s, "referencedItems": refs}
+    item = lambda i, s, refs=(): {"id": i, "isSpineItem": True, "spineIndex": s, "checkSum": f"c{s}", "fileName": f"{i}.xhtml", "referencedItems": list(refs)}
     message = {"ID": "M1", "severity": "ERROR", "message": "m", "additionalLocations": 3, "locations": [{"fileName": None, "line": 1, "column": 2}, {"fileName": "f", "line": 1, "column": 2}]}
-    old = spark.createDataFrame([("b", result(items=[item("a", "0", '["x","y"]')]))], "file string, result string")
-    new = spark.createDataFrame([("b", result(items=[item("a", "1", '["y","z"]'), item("n", "2")], messages=[message]))], "file string, result string")
-    got = {r.level: r.code for r in check_results.compare(old, new).collect()}
-    assert got["Pub"] == "Pub==" and got["Spine"] == "Spine-A1-R0-C1" and got["Refs"] == "Refs-A1-R1-C0" and got["Mess"] == "Mess-A1-R0-C0" and got["Loc"] == "Loc-A2-R0-C0"
-    assert check_results.outcome(new).first()["n_errors"] == 4
-    assert [r.place for r in check_results.locations(check_results.messages(new)).orderBy("place").collect()] == ["M1HasNullFileNameLoc", "f-1-2"]
-    assert not check_results.unchanged(check_results.compare(old, new)).first()["is_unchanged"]
+    blank = {"ID": "", "severity": "WARNING", "message": "w", "locations": []}
+    old = result(publication={"title": "t", "nSpines": 1}, items=[item("a", 9), item("a", 0, "xy"), item("c", 5)], messages=[blank, message | {"severity": "USAGE"}])
+    new = result(publication={"title": "t", "nSpines": 2}, items=[item("a", 1, "yz"), item("n", 2), item("c", 5)], messages=[message, message | {"message": "a second one"}, blank, blank])
+    old, new = (spark.createDataFrame([("b", x), ("same", result(publication={"nSpines": 3}, messages=[blank])), (gone, None)], "file string, result string") for x, gone in ((old, "old"), (new, "new")))
+    got = {(r.file, r.level): r.code for r in check_results.compare(old, new).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "b"} == {
+        "Pub": "Pub-xA-xR-C1", "Spine": "Spine-N2-U1-A1-xR-OC1-CC1", "Mani": "Mani-A1-xR-C1", "Refs": "Refs-A1-R1-xC", "Mess": "Mess-A1-xR-C1", "Loc": "Loc=="}
+    assert {k[1]: v for k, v in got.items() if k[0] == "same"} == {"Pub": "Pub==", "Spine": "Spine==-N3", "Mani": "Mani==", "Refs": "Refs==", "Mess": "Mess=!xA-xR-xC", "Loc": "Loc=="}
+    assert got["old", "Spine"] == got["new", "Spine"] == "Spine==-NNone"
+    told = {(r.level, r.id, r.property): (r.status, r.old_value, r.new_value) for r in check_results.differences(old, new).where("file = 'b' and status <> 'unchanged'").collect()}
+    assert told["ItemProperty", "a", "checkSum"] == ("changed", "a.xhtml", "a.xhtml") and told["Order", "a", ""] == ("changed", "0", "1")
+    assert told["MessageProperty", "M1", "severity"] == ("changed", "USAGE", "ERROR") and told["Mess", "BlankID_2", ""][0] == "added" and told["Refs", "a", "z"][0] == "added"
+    assert {r.file: r.n_errors for r in check_results.outcome(new).collect()} == {"b": 4, "same": 0, "new": 0}
+    assert [r.place for r in check_results.locations(check_results.messages(new)).orderBy("place").collect()] == ["M1HasNullFileNameLoc-1-2", "f-1-2"]
+    assert {r.file: r.is_unchanged for r in check_results.unchanged(check_results.compare(old, new)).collect()} == {"b": False, "same": True, "old": True, "new": True}
+    runs = [("a.epub", False, False, None, False, 0), ("b.EPUB", False, False, "x", True, 0), ("c", True, True, None, None, 2), ("d.txt", False, False, None, None, 0), ("9780000000001x.epub", False, False, "not_found", None, None)]
+    runs = spark.createDataFrame(runs, "file string, is_dir boolean, has_mimetype boolean, error string, timed_out boolean, n_errors int")
+    assert {r.file[0]: (r.status, r.name) for r in check_results.check_status(runs).withColumn("name", check_results.report_name(F.col("file"), True)).collect()} == {
+        "a": ("clean", "a.epubCheck.json"), "b": ("timeout", "b.EPUBCheck.json"), "c": ("severe", "cCheck.json"), "d": ("skipped", "d.txtCheck.json"), "9": ("not_found", "9780000000001.ePubCheck.json")}
 
 
 def test_markdown_and_numbering(spark):
