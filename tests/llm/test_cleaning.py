@@ -80,7 +80,7 @@ def test_samples_are_bounded_though_rows_share_an_id(spark, monkeypatch):
     sizes = []
     monkeypatch.setattr(quality_classifier, "FIT_ROWS", 7)
     monkeypatch.setattr(quality_classifier, "fit_scorer", lambda rows, labels: sizes.append((len(rows), len(labels))) or np.zeros(quality_classifier.WIDTH + 1))
-    monkeypatch.setattr(language_id, "PER_LANG", 4)
+    monkeypatch.setattr(language_id, "FIT_ROWS", 9)
     monkeypatch.setattr(language_id, "train", lambda rows: sizes.append(sorted(lang for lang, _ in rows)))
     docs = spark.createDataFrame([(1 if i % 2 else None, f"some words of text {i % 9}", "en" if i % 3 else "de") for i in range(60)], "doc_id long, text string, lang string")
     assert quality_classifier.classify(docs).count() == 60
@@ -122,6 +122,17 @@ def test_urls_equal_brute_force(spark):
     assert url_filters.judge(df, rules=()).where("verdict <> 'allow'").count() == 0
 
 
+def test_url_columns_are_kept_and_long_urls_read_whole(spark):
+    long = "http://a.com/en/" + "x/" * 200_000 + "?q"
+    names = ["_tokens", "_u", "_c", "_hits", "_best", "_row", "token", "a.b"]
+    df = spark.createDataFrame([(1, long, "mine")], "page_id long, url string, host string")
+    for name in names:
+        df = df.selectExpr("*", f"'kept' as `{name}`")
+    r = url_filters.judge(df).first()
+    assert (r.host, r.rule, r.verdict, len(r.path)) == ("a.com", "com/en/", "block", len(long) - len("http://a.com?q"))
+    assert all(r[name] == "kept" for name in names) and url_filters.judge(df).columns == ["page_id", "url", *names, "host", "path", "rule", "matched", "verdict"]
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rule = url_filters.host_rule("example.com", "/en/7", "allow")
     assert rule.tokens == ("example", "com", "en") and url_filters.rarest(rule, {"example": 9, "com": 5, "en": 7}) == "com"
@@ -165,3 +176,72 @@ def test_kernel_equals_brute_force():
     landmarks = [grams[2], grams[0], grams[1]]
     want = [[kernel(a, b) for b in landmarks] for a in grams]
     assert np.allclose(model.kernels(grams), want, atol=1e-6)
+
+
+def test_letters_of_all_planes(spark):
+    texts = ["\U0001f600 \U0001f600", "\U0001d7ce 1", "\U00020000\U00020001", "\U0001d400\U0001d401 x", "the cat and the dog", None, "\u0301", "\U000100af"]
+    docs = spark.createDataFrame([(i, t, "en" if i == 4 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert {k for k, v in got.items() if v == "und"} == {k for k, t in enumerate(texts) if not any(c.isalpha() for c in t or "")} == {0, 1, 5, 6}
+
+
+def syllables(k):
+    """Words of an invented language: no two share many syllables."""
+    rng = np.random.default_rng(k)
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 6))) for _ in range(25)]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "DENSE_CELLS", 1000)
+    rng, data = np.random.default_rng(0), []
+    for k in range(300):
+        words = syllables(k)
+        data += [(6 * k + i, " ".join(rng.choice(words, 60)), f"l{k:03d}") for i in range(6)]
+    got = language_id.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    lang = {d: name for d, _, name in data}
+    learned = {lang[r.doc_id] for r in got if not r.held_out}
+    assert len(learned) == 300 and all(r.lang_pred == lang[r.doc_id] for r in got if not r.held_out)
+    held = [r.lang_pred == lang[r.doc_id] for r in got if r.held_out]
+    assert np.mean(held) > 0.95
+
+
+def test_scores_are_the_least_of_the_ridge(monkeypatch):
+    """The scorer minimises the weighted squares plus the penalty over functions of the landmarks, and sparse products equal dense ones."""
+    rng = np.random.default_rng(3)
+    spectrum, rows = language_id.Spectrum(), []
+    for k in range(3):
+        words = syllables(k)
+        rows += [(f"l{k}", spectrum(" ".join(rng.choice(words + syllables(9), 30)))) for _ in range(12 + 5 * k)]
+    monkeypatch.setattr(language_id, "LANDMARKS_PER_LANG", 6)
+    model, grams = language_id.train(rows, ridge=0.5), [g for _, g in rows]
+    marks = language_id.landmarks_of(rows, model.langs)
+    assert len(marks) == 18
+    k, mm = model.kernels(grams).astype(float), model.kernels(marks).astype(float)
+    w = np.array([1 / sum(l == lang for l, _ in rows) for lang, _ in rows])
+    w /= w.sum()
+    y = np.array([[float(l == lang) for lang in model.langs] for l, _ in rows])
+    lam = 0.5 / len(rows) ** 0.5
+
+    def cost(a, b):
+        return (w[:, None] * (k @ a + b - y) ** 2).sum() + lam * np.trace(a.T @ mm @ a)
+
+    a, b = model.weights.astype(float), model.bias.astype(float)
+    least = cost(a, b)
+    for _ in range(50):
+        assert cost(a + 1e-2 * rng.standard_normal(a.shape), b) > least and cost(a, b + 1e-3 * rng.standard_normal(b.shape)) > least
+    assert np.allclose(model.scores(grams), k @ a + b, atol=1e-4) and np.allclose(model.scores(grams).sum(axis=1), 1, atol=1e-3)
+    dense = model.kernels(grams)
+    monkeypatch.setattr(language_id, "DENSE_CELLS", 0)
+    sparse = language_id.train(rows, ridge=0.5)
+    assert np.allclose(sparse.kernels(grams), dense, atol=1e-6) and sparse.marks is None
+    assert language_id.train([("only", grams[0])]).scores(grams[:1])[0, 0] == pytest.approx(1, abs=1e-5)
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng, data = np.random.default_rng(5), []
+    for k in range(4):
+        words = syllables(k)
+        data += [(100 * k + i, " ".join(rng.choice(words, 80)), f"l{k}") for i in range(40)]
+    data += [(1000 + i, " ".join(rng.choice(syllables(50 + i), 80)), None) for i in range(10)] + [(2000, "12 34", "l1"), (2001, None, "l1")]
+    kept = {r.doc_id for r in language_id.keep_known(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert {d for d, _, l in data if d < 1000} <= kept and not kept & {2000, 2001} and len(kept & set(range(1000, 1010))) <= 3
