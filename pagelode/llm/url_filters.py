@@ -6,11 +6,13 @@ its rarest. The index is a hash table kept as a literal array: a URL's token
 picks one cell, the cell's rules filed under that very token are the
 candidates, and only they run their regular expression. So judging needs no
 shuffle and no join. The index grows with the rules alone; ``MOST_RULES``
-bounds it.
+bounds it, and more are an error.
 
 Defined cases: a null URL and one without ``://`` have empty host and path and
 get the default verdict; an empty table gives an empty result; repeated rows
-are judged alike; of rules of equal length the first by rule string wins.
+are judged alike; very long URLs are read whole; of rules of equal length the
+first by rule string wins. Columns of the table are kept whatever their names,
+but one that is named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -82,8 +84,9 @@ def path_of(url: Column) -> Column:
 
 
 def located(df: DataFrame, url: str = "url") -> DataFrame:
-    """df with ``host``, ``path``, and ``_tokens``: the lower-case alphanumeric runs of both."""
-    parts = df.withColumn("_u", F.coalesce(F.col(url), F.lit(""))).withColumn("host", host_of(F.col("_u"))).withColumn("path", path_of(F.col("_u"))).drop("_u")
+    """_row (a row of df), host, path, and _tokens: the lower-case alphanumeric runs of both."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("_u"))
+    parts = whole.withColumn("host", host_of(F.col("_u"))).withColumn("path", path_of(F.col("_u"))).drop("_u")
     return parts.withColumn("_tokens", F.array_distinct(F.split(F.translate(F.concat("host", F.lit(" "), "path"), ASCII_UPPER, ASCII_LOWER), "[^0-9a-z]+")))
 
 
@@ -126,9 +129,8 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + WORD_RULES, defa
         .withColumn("_best", F.reduce("_hits", F.lit(None).cast("struct<token:string,rule:string,verdict:string,pattern:string,rank:int>"),
                                       lambda a, r: F.when(a.isNull() | (r["rank"] > a["rank"]) | ((r["rank"] == a["rank"]) & (r["rule"] < a["rule"])), r).otherwise(a)))
     )
-    return (
-        best.withColumn("rule", F.when(F.col("_best.rank") > 0, F.col("_best.rule")))
-        .withColumn("matched", F.col("_best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default)))
-        .drop("_tokens", "_c", "_hits", "_best")
-    )
+    results = {
+        "host": F.col("host"), "path": F.col("path"), "rule": F.when(F.col("_best.rank") > 0, F.col("_best.rule")), "matched": F.col("_best.rule"),
+        "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
+    }
+    return best.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c not in results], *[v.alias(k) for k, v in results.items()])
