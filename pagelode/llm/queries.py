@@ -98,7 +98,7 @@ FROM parts p LEFT JOIN best b ON p.page_id = b.page_id
 _MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 10))::BIGINT AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][1 + (k - 1) % 3]::DOUBLE AS weight, 2 * source_size AS cap FROM s),
@@ -109,12 +109,11 @@ t AS (SELECT source, source_size, least(cap::DOUBLE, max(level) OVER () * weight
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
 r AS (SELECT *, target - times * source_size AS rest FROM g),
 c AS (
-  SELECT source, h, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto, sum(size) AS own FROM d GROUP BY source, h),
-e AS (
-  SELECT c.source, max(CASE WHEN upto <= rest OR (upto - own < rest AND upto - rest < rest - (upto - own)) THEN h END) AS last
-  FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source WHERE rest > 0 AND own > 0 GROUP BY c.source)
-SELECT doc_id, size, source_size, target, (size * (times + CASE WHEN h <= coalesce(last, -1) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+  SELECT source, h, doc_id, size, count(*) AS n, sum(count(*) * size) OVER (PARTITION BY source ORDER BY h, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM d GROUP BY source, h, doc_id, size),
+m AS (
+  SELECT c.*, source_size, target, times, CASE WHEN size = 0 THEN 0 ELSE greatest(0, least(n, ceil((rest - (upto - n * size)) / size::DOUBLE - 0.5::DOUBLE))) END AS more
+  FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (size * (times + CASE WHEN k <= more THEN 1 ELSE 0 END))::BIGINT AS taken FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM m)
 """
 
 _RULES = r"""
