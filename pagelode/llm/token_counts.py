@@ -1,47 +1,130 @@
-"""Edit-aware token counts: segment trees over pre-token runs.
+"""Edit-aware token counts: segment trees over pre-tokens, kept for each document.
 
-A text is cut before white space into leaves of about ``LEAF`` words; no token
-crosses white space, so the text's count is the sum of its leaves' counts. A
-segment tree keeps, for each subtree, the sum of characters and of tokens. An
-edit descends by characters to the leaves that it touches, takes in the leaf
-before where the new text would join it without white space between, re-encodes
-that region alone, and updates the sums on the way up.
+A text is cut into leaves of about ``LEAF`` words, before white space where there
+is some; a run of more than ``LONG_RUN`` characters without any is cut between
+pre-tokens that the tokenizer would encode apart in any case, if normalising
+changes nothing but its case (else it stays whole). The text's count is
+the sum of its leaves' counts. A segment tree holds, for each subtree, the sum of
+characters and of tokens. ``trees`` makes a table of them, which is small and is
+kept; ``apply_edits`` takes a table of edits, reads the texts and trees of the
+edited documents alone, and returns their counts, new texts and new trees. An
+edit descends by characters to the leaves that it touches, takes in the leaves
+before and after where the cut between them and the new text would not be sound,
+re-encodes that region alone, and updates the sums on the way up.
 
 Defined cases: a null text is empty and has no tokens; edits beyond the end are
-cut to the text; empty tables give empty results; rows that repeat are counted
-each; further columns are ignored.
+cut to the text; documents without an edit are not in the result; rows that share
+id and text share a tree and are edited each; a null doc_id matches the edits of
+the null id; a stored tree that does not fit its text is an error; empty tables
+give empty results; further columns are ignored. The edits of one document apply
+one after another, so they are one task's work.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import default_tokenizer, encoder, small_batches, texts_in
+from pagelode.llm.common import default_tokenizer, encoder, small_batches, stored, texts_in
 
 LEAF = 64
-#: Only these are cut before: the encoder's own plain separators.
-_RUN = re.compile(r"[ \n]*[^ \n]*")
+LONG_RUN = 512
+
+
+#: Strings that the tokenizer takes whole before anything else.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+
+
+@cache
+def _patterns():
+    """Runs up to white space (the encoder's plain separators), and pre-tokens of texts that are not lower-cased yet."""
+    import re
+
+    import regex
+
+    marks = "|".join("'" + "".join(f"[{c}{c.upper()}]" for c in tail) for tail in ("s", "t", "re", "ve", "m", "ll", "d"))
+    return re.compile(r"[ \n]*[^ \n]*"), regex.compile("|".join(map(re.escape, SPECIAL)) + f"|{marks}" + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _plain(text: str) -> bool:
+    """Whether normalising changes nothing but case, so that pre-tokens can be told from the text itself."""
+    import unicodedata
+
+    return text.isprintable() and (text.isascii() or ("\u0130" not in text and unicodedata.is_normalized("NFC", text)))
+
+
+def _apart(x: str, y: str) -> bool:
+    """Whether no special token or combining mark reaches across the cut between two characters."""
+    import unicodedata
+
+    return x not in "<|>" and y not in "<|>" and (y < "\x80" or not unicodedata.category(y).startswith("M"))
+
+
+def sound_cut(left: str, right: str) -> bool:
+    """Whether left, which starts at a sound cut, and right are encoded apart."""
+    if not left or not right or right[0] in " \n":
+        return True
+    if not _apart(left[-1], right[0]):
+        return False
+    start = max(left.rfind(" "), left.rfind("\n")) + 1
+    near = left[start:] + right[:4].split(" ")[0].split("\n")[0]
+    return _plain(near) and not any(m.start() < len(left) - start < m.end() for m in _patterns()[1].finditer(near))
+
+
+def _leaves(text: str, leaf: int) -> Iterator[str]:
+    """Runs of about ``leaf`` words, or of as many pre-tokens where no white space parts them."""
+    runs, parts = _patterns()
+    start = words = 0
+    for run in runs.finditer(text):
+        if run.end() - run.start() > LONG_RUN and _plain(run.group().lstrip(" \n")):
+            for n, part in enumerate(parts.finditer(text, run.start(), run.end()), 1):
+                if n % leaf == 0 and part.end() < run.end() and _apart(text[part.end() - 1], text[part.end()]):
+                    yield text[start : part.end()]
+                    start, words = part.end(), 0
+        words += 1
+        if words == leaf:
+            yield text[start : run.end()]
+            start, words = run.end(), 0
+    if start < len(text):
+        yield text[start:]
 
 
 class TokenTree:
     """Token count of one text under edits. ``reencoded`` counts characters given to the encoder by edits."""
 
     def __init__(self, text: str, count, leaf: int = LEAF):
-        self.count, self.reencoded = count, 0
-        self.leaves = list(_leaves(text, leaf)) or [""]
+        leaves = list(_leaves(text, leaf)) or [""]
+        self._fill(leaves, list(map(len, leaves)), list(map(count, leaves)), count)
+
+    def _fill(self, leaves: list[str], chars: list[int], tokens: list[int], count) -> None:
+        self.count, self.reencoded, self.leaves = count, 0, leaves
         self.size = 1
-        while self.size < len(self.leaves):
+        while self.size < len(leaves):
             self.size *= 2
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for k, part in enumerate(self.leaves):
-            self.chars[self.size + k], self.tokens[self.size + k] = len(part), count(part)
+        self.chars, self.tokens = ([0] * self.size + x + [0] * (self.size - len(x)) for x in (chars, tokens))
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
+    @classmethod
+    def kept(cls, text: str, chars: list[int], tokens: list[int], count) -> TokenTree:
+        """The tree of a text from its leaves' sizes and counts; nothing is encoded."""
+        tree, leaves, at = cls.__new__(cls), [], 0
+        for n in chars:
+            leaves.append(text[at : at + n])
+            at += n
+        if at != len(text):
+            raise ValueError("a stored tree does not fit its text")
+        tree._fill(leaves or [""], chars or [0], tokens or [0], count)
+        return tree
+
+    def stored(self) -> tuple[list[int], list[int]]:
+        """Sizes and counts of the leaves that have text."""
+        used = [k for k, x in enumerate(self.leaves) if x]
+        return [self.chars[self.size + k] for k in used], [self.tokens[self.size + k] for k in used]
+
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
         self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -82,12 +165,11 @@ class TokenTree:
         first, a = self._leaf_at(start)
         last, b = self._leaf_at(end)
         region = self.leaves[first][:a] + new + self.leaves[last][b:]
-        before = first
-        while region and before and region[0] not in " \n":  # boundary context: what it would join
+        before, after = first, last
+        while before and not sound_cut(self.leaves[before - 1], region):  # boundary context: what it would join
             before -= 1
             region = self.leaves[before] + region
-        after = last
-        while after + 1 < len(self.leaves) and (not self.leaves[after + 1] or self.leaves[after + 1][0] not in " \n"):
+        while after + 1 < len(self.leaves) and not (self.leaves[after + 1] and sound_cut(region, self.leaves[after + 1])):
             after += 1
             region += self.leaves[after]
         for leaf in range(before, after + 1):
@@ -97,45 +179,93 @@ class TokenTree:
         self._set(before, region, self.count(region))
 
 
-def _leaves(text: str, leaf: int) -> Iterator[str]:
-    """Runs of about ``leaf`` words, each but the first beginning with white space."""
-    start = words = 0
-    for run in _RUN.finditer(text):
-        words += 1
-        if words == leaf:
-            yield text[start : run.end()]
-            start, words = run.end(), 0
-    if start < len(text):
-        yield text[start:]
+def _counter(path: str):
+    own = encoder(path)
+    return lambda text: len(own.ids(text)) // 4
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
+
+
+def trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, text_hash, n_tokens, chars, tokens (of the leaves): one row for each row of docs; to be stored."""
+    path = tokenizer or default_tokenizer()
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def sample_edits(key, text: str) -> list[tuple[int, int, str]]:
-    """Three edits that depend on id and text length: an insertion inside, a deletion and a replacement, at places spread by the id."""
-    n, seed = len(text), (key or 0) * 2654435761 % (1 << 32)
-    at = lambda k: (seed >> 4 * k) % (n + 1)
-    return [(at(0), at(0), "an inserted phrase, "), (at(1), at(1) + 24, ""), (at(2), at(2) + 9, " changed")]
+        count = _counter(path)
+        for batch in batches:
+            totals, chars, tokens = [], [], []
+            for _, texts in texts_in(batch, "text"):
+                for text in texts:
+                    tree = TokenTree(text, count)
+                    totals.append(tree.total)
+                    for column, value in zip((chars, tokens), tree.stored()):
+                        column.append(value)
+            ints = pa.list_(pa.int32())
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(totals, pa.int64()), pa.array(chars, ints), pa.array(tokens, ints)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_tokens", "chars", "tokens"])
 
+    return small_batches(_keyed(docs)).mapInArrow(run, "doc_id long, text_hash long, n_tokens long, chars array<int>, tokens array<int>")
 
-def counts(docs: DataFrame, tokenizer: str | None = None, edits=sample_edits) -> DataFrame:
-    """doc_id, n_tokens, n_edits, edited_n_tokens, reencoded_chars: of whole texts, before and after edits(doc_id, text) one after another."""
+
+def apply_edits(docs: DataFrame, kept: DataFrame, edits: DataFrame, tokenizer: str | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_tokens, n_edits, edited_n_tokens, reencoded_chars, chars, tokens (of the new tree), and the new text if asked for.
+
+    edits: doc_id, seq, start, stop, new, and text_hash where they mean one text of an id.
+    """
     path = tokenizer or default_tokenizer()
+    schema = "doc_id long, text_hash long, n_tokens long, n_edits long, edited_n_tokens long, reencoded_chars long, chars array<int>, tokens array<int>" + ", text string" * with_text
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
-        own = encoder(path)
-        count = lambda text: len(own.ids(text)) // 4
+        count = _counter(path)
+        kinds = [*[pa.int64()] * 6, *[pa.list_(pa.int32())] * 2, pa.string()]
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
             for start, texts in texts_in(batch, "text"):
-                out = []
-                for key, text in zip(keys[start:], texts):
-                    tree = TokenTree(text or "", count)
-                    before, todo = tree.total, edits(key, text or "")
+                own, out = batch.slice(start, len(texts)), []
+                for text, key, text_hash, chars, tokens, todo in zip(texts, *(own.column(c).to_pylist() for c in ("doc_id", "text_hash", "chars", "tokens", "todo"))):
+                    tree = TokenTree.kept(text, chars, tokens, count)
+                    before = tree.total
                     for change in todo:
-                        tree.edit(*change)
-                    out.append((key, before, len(todo), tree.total, tree.reencoded))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "n_tokens", "n_edits", "edited_n_tokens", "reencoded_chars"])
+                        tree.edit(change["start"], change["stop"], change["new"] or "")
+                    after = tree.text
+                    new_hash = xxh64_intdigest(after.encode(), 42)  # what Spark's xxhash64 gives
+                    out.append((key, new_hash - (1 << 64) if new_hash >> 63 else new_hash, before, len(todo), tree.total, tree.reencoded, *tree.stored(), after)[: len(kinds) - (not with_text)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    keys = ["doc_id", *["text_hash"] * ("text_hash" in edits.columns)]
+    todo = edits.groupBy(*[F.col(k).cast("long").alias(f"_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "new"))).alias("todo"))
+    rows = _keyed(docs)
+    edited = rows.join(todo, F.lit(True) if not keys else _all(rows[k].eqNullSafe(todo[f"_{k}"]) for k in keys)).select("doc_id", "text_hash", "text", "todo")
+    one = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(F.struct("chars", "tokens")).alias("tree"))
+    found = edited.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", "todo", "tree.*")
+    return small_batches(found).mapInArrow(run, schema)
+
+
+def _all(conditions):
+    from functools import reduce
+    from operator import and_
+
+    return reduce(and_, conditions)
+
+
+def sample_edits(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, seq, start, stop, new: three edits of each document, an insertion inside, a deletion and a replacement, at places spread by the id."""
+    rows = _keyed(docs).select("doc_id", "text_hash", F.length("text").cast("long").alias("n")).distinct()
+    seed = F.pmod(F.coalesce("doc_id", F.lit(0)) * 2654435761, F.lit(1 << 32))
+    at = lambda k: F.pmod(F.shiftright(seed, 4 * k), F.col("n") + 1)
+    edit = lambda k, length, new: F.struct(F.lit(k).alias("seq"), at(k).alias("start"), (at(k) + length).alias("stop"), F.lit(new).alias("new"))
+    return rows.select("doc_id", "text_hash", F.inline(F.array(edit(0, 0, "an inserted phrase, "), edit(1, 24, ""), edit(2, 9, " changed"))))
+
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_edits long, edited_n_tokens long, reencoded_chars long")
+def counts(docs: DataFrame, tokenizer: str | None = None, edits: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_edits, edited_n_tokens, reencoded_chars of whole texts: trees are made and stored, then the edits (by default ``sample_edits``) applied to them."""
+    kept = stored(trees(docs, tokenizer), "token-trees")
+    changed = apply_edits(docs, kept, sample_edits(docs) if edits is None else edits, tokenizer)
+    return changed.select("doc_id", "n_tokens", "n_edits", "edited_n_tokens", "reencoded_chars")

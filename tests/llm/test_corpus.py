@@ -33,6 +33,28 @@ def test_mix_cases(odd_docs, no_docs):
     assert out.columns == odd_docs.columns and out.count() == sum(r.times_taken for r in got) and times
 
 
+def test_targets_hold_though_ids_repeat(spark):
+    """Rows that share an id, or have none, are parted by their texts; rows that repeat are taken by number."""
+    text = lambda i, n: " ".join([f"w{i}"] * n)
+    for data in (
+        [(None, "a", text(i, 10), i) for i in range(40)] + [(5, "b", text(7, 10), 0)] * 60 + [(i, "c", text(i, 3), i) for i in range(5)],
+        [(None, "a", None, 0), (None, "a", "x", 1), (1, None, text(1, 20), 2), (1, None, text(1, 20), 3), (1, None, text(2, 20), 4), (2, "b", text(3, 40), 5)],
+    ):
+        docs = spark.createDataFrame(data, "doc_id long, source string, text string, _i int").repartition(3)
+        for name in ("_s", "_times", "_below", "_doc", "_k", "_n", "_run", "_key", "_h", "size", "cut_source", "cut_at", "h", "more"):
+            docs = docs.selectExpr("*", f"'kept' as {name}")
+        got = mixing.mix(docs).collect()
+        assert len(got) == len(data)
+        for source in {r.source for r in got}:
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2 + 1e-6
+        assert rows(mixing.mix(docs.repartition(7))) == rows(mixing.mix(docs))
+        out = mixing.mixed_documents(docs)
+        assert out.columns == docs.columns and out.count() == sum(r.times_taken for r in got)
+        assert sorted((r.doc_id, r.source, len(words(r.text))) for r in out.collect() if r.doc_id is not None and r.source) == sorted((r.doc_id, r.source, r.size) for r in got for _ in range(r.times_taken) if r.doc_id is not None and r.source)
+        assert {r._s for r in out.collect()} == {"kept"} and {r._i for r in out.where("source = 'b'").collect()} <= {d[3] for d in data}
+
+
 def test_targets_are_the_reshared_weights(spark):
     def brute(sizes, weights, share):
         total, out, free = share * sum(sizes), {}, set(range(len(sizes)))
@@ -167,7 +189,7 @@ def test_fingerprints_equal_brute_force(odd_docs):
 
 
 def test_near_duplicates_equal_brute_force(spark, odd_docs, no_docs):
-    docs = odd_docs.where("doc_id <> 6 or doc_id is null")
+    docs = odd_docs
     data = [(r.doc_id, brute_fingerprint(r.text, 3)) for r in docs.select("doc_id", "text").collect()]
     want = sorted(((d, f"{v:016x}", c) for (d, v), c in zip(data, brute_components(data))), key=str)
     got = simhash.near_duplicates(docs).drop("text_hash").collect()
@@ -282,7 +304,7 @@ def brute_followers(docs):
 
 
 def test_spot_fingerprints_equal_brute_force(spark, odd_docs, no_docs):
-    docs = odd_docs.where("doc_id <> 6 or doc_id is null")
+    docs = odd_docs
     want = []
     for d, t, after in brute_followers([(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]):
         changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
@@ -333,16 +355,63 @@ def test_counts_under_edits_equal_full_encoding(odd_docs, no_docs):
     texts = {r.doc_id: r.text or "" for r in odd_docs.select("doc_id", "text").collect()}
     got = token_counts.counts(odd_docs).collect()
     assert len(got) == odd_docs.count()
+    todo = defaultdict(set)
+    for r in token_counts.sample_edits(odd_docs).collect():
+        todo[r.doc_id].add((r.seq, r.start, r.stop, r.new))
     for r in got:
         text = texts[r.doc_id]
-        assert r.n_tokens == full(text)
-        for a, b, new in token_counts.sample_edits(r.doc_id, text):
+        assert r.n_tokens == full(text) and r.n_edits == 3
+        for _, a, b, new in sorted(todo[r.doc_id]):
             text = text[:a] + new + text[b:]
         assert r.edited_n_tokens == full(text)
         assert r.reencoded_chars < 5000 or len(text) < 5000
     assert token_counts.counts(no_docs).count() == 0
 
 
+def test_leaves_between_pre_tokens():
+    """Texts without white space have many leaves, cut only where the tokenizer's counts add up."""
+    tokenizer = Tokenizer.from_file(common.default_tokenizer())
+    full = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(8)
+    alphabet = ["日本語", "。", "、", "a", "B9", "<|endoftext|>", "<|", "endoftext", "|>", "'", "s", "'RE", "e", "\u0301", "İ", ".", "()", "{x:1}", "ſ", "\u1100", "\u1161", "\u0958", "=", "_", "\U0001f600"]
+    for trial in range(60):
+        odd = trial % 2
+        letters = alphabet if odd else [x for x in alphabet if x not in ("\u0301", "İ", "\u0958", "\u1100")]
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(400, 900)))
+        tree = token_counts.TokenTree(text, full, leaf=rng.choice([2, 16]))
+        assert (odd or len(tree.leaves) > 5) and tree.total == full(text)
+        for _ in range(6):
+            a, b = sorted(rng.randint(0, len(text)) for _ in range(2))
+            b, new = min(b, a + 6), "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 3)))
+            tree.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert tree.text == text and tree.total == full(text)
+        again = token_counts.TokenTree.kept(text, *tree.stored(), full)
+        assert again.total == tree.total and again.text == text
+    code = "f(x)=g[i]+h{j};" * 4000
+    tree = token_counts.TokenTree(code, full)
+    tree.edit(30_000, 30_003, "new(")
+    assert tree.reencoded < 1000 and tree.total == full(tree.text)
+
+
+def test_kept_trees_serve_later_edits(spark):
+    """Only edited documents are read again, and new trees serve the next edits."""
+    tokenizer = Tokenizer.from_file(common.default_tokenizer())
+    full = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    data = [(1, "a b c " * 100), (2, "not edited"), (None, "no id here"), (4, None), (5, "twice"), (5, "twice"), (5, "third text")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("todo", F.lit(1))
+    kept = common.stored(token_counts.trees(docs), "t")
+    edits = spark.createDataFrame([(1, 0, 4, 7, "new words"), (1, 1, 0, 2, ""), (None, 0, 999, 999, " end"), (4, 0, 0, 0, "born"), (5, 0, 0, 1, "T"), (9, 0, 0, 0, "nobody")], "doc_id long, seq int, start int, stop int, new string")
+    got = common.stored(token_counts.apply_edits(docs, kept, edits, with_text=True), "t").orderBy("doc_id", "text")
+    first = data[0][1][:4] + "new words" + data[0][1][7:]
+    want = [(None, "no id here end"), (1, first[2:]), (4, "born"), (5, "Third text"), (5, "Twice"), (5, "Twice")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert all(r.edited_n_tokens == full(r.text) for r in got.collect()) and all(r.n_tokens == full(t or "") for r in kept.join(docs.select("doc_id", "text"), "doc_id").where("doc_id < 5").collect() for t in [r.text])
+    again = token_counts.apply_edits(got.select("doc_id", "text"), got, edits.where("doc_id = 1"))
+    assert again.count() == 1 and again.first().n_tokens == full(first[2:])
+    assert token_counts.apply_edits(docs, kept, edits.where("false")).count() == 0
+
+
 def odd_pages(spark):
     data = [(1, "http://a/x", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://a/\r\nx", None), (None, "http://b", "y"), (5, "http://c", ""), (5, "http://c", ""), (6, "http://d", "WARC/1.1\r\n\r\n" * 3), (7, "http://e", "z" * 3_000_000)]
     return spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "'x' as _sha1", "1 as record_type").repartition(3)
