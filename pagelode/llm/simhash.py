@@ -13,13 +13,17 @@ the tree of their shard. A shard returns a spanning forest of its links, never
 all pairs, and connected components are found by star contraction on tables.
 
 ``keep_first`` asks for near copies instead: texts whose sets of five-word
-shingles have a Jaccard likeness of ``LIKE`` or more, which differ in about ten
-bits and so are out of reach of the trees. Equal sets are one class. Classes
-that agree in all ``ROWS`` min-hashes of one of ``BANDS`` bands are compared by
-their whole sets: first each with the smallest of its band's key, then whatever
-pairs of a key are not connected yet, so that large groups need no all pairs. A
-pair of likeness j is missed with probability (1 - j**ROWS)**BANDS and never
-linked below ``LIKE``.
+shingles have a Jaccard likeness of ``LIKE`` or more. Their fingerprints differ
+in about ten bits, more than blocks can find. So shards are made of min-hash
+bands (``BANDS`` choices of ``ROWS`` of ``HASHES`` min-hashes), and the BK-tree of
+each shard is searched with a radius of ``NEAR_RADIUS`` bits. What it finds is
+held against two bits of each min-hash and, where these agree ``AGREE`` times,
+whole sets are compared. Each set of a shard first tries the likest and the most
+copied other one; sets still apart then try whatever else the tree finds, so a
+large group needs no all pairs. A shard of more than ``HOT_SHARD`` sets is cut
+into trees that all its sets search. A pair of likeness 0.8 is missed with a
+probability of 0.02 (bands 0.006, bits 0.01), of 0.85 or more with less than
+0.001, and none below ``LIKE`` is linked.
 
 Defined cases: null and blank texts have fingerprint zero and link like any
 other; rows that share a doc_id each get a row; a null doc_id takes part but is
@@ -41,9 +45,11 @@ from pagelode.llm.common import small_batches, stored, texts_in
 RADIUS = 2
 HOT_SHARD = 4096
 PAIRS = tuple(combinations(range(4), 2))
-#: Of near copies: the least Jaccard likeness (as a fraction), bands, and min-hashes of a band.
+#: Of near copies: the least Jaccard likeness (as a fraction), min-hashes, bands and min-hashes of a band.
 LIKE = (4, 5)
-BANDS, ROWS = 32, 6
+HASHES, BANDS, ROWS = 192, 36, 9
+#: Fingerprints of sets of likeness 0.8 differ in 9.7 bits (deviation 2.9); of their two-bit min-hashes 163 agree (deviation 5).
+NEAR_RADIUS, AGREE = 20, 152
 
 
 def fingerprint(text: str | None, shingle: int = 3, at_once: int = 65_536) -> int:
@@ -75,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             values = np.array([fingerprint(t, shingle) for _, texts in texts_in(batch, "text") for t in texts], "<u8")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view("<i8")), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
@@ -272,24 +278,32 @@ def set_hash(hashes) -> int:
 
 @cache
 def _permutations():
+    """Multipliers and addends of the min-hashes, and which of them each band takes."""
     import numpy as np
 
-    times, plus = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 64, (2, BANDS * ROWS), "u8")
-    return times | np.uint64(1), plus
+    rng = np.random.Generator(np.random.PCG64(42))
+    times, plus = rng.integers(0, 1 << 64, (2, HASHES), "u8")
+    return times | np.uint64(1), plus, np.array([rng.choice(HASHES, ROWS, replace=False) for _ in range(BANDS)])
 
 
-def band_keys(hashes, at_once: int = 512) -> list[int]:
-    """One key for each band; none for sets so small that only equal ones are near."""
+def sketch(hashes, at_once: int = 512) -> tuple[int, bytes, list[int]]:
+    """Of a shingle set: its 64-bit SimHash, two bits of each min-hash, and one key for each band; no keys for sets so small that only equal ones are near."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    if len(hashes) * (LIKE[1] - LIKE[0]) < LIKE[0]:
-        return []
-    times, plus = _permutations()
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, "<u8")
+    times, plus, bands = _permutations()
+    least, total = np.full(HASHES, (1 << 64) - 1, "<u8"), np.zeros(64, np.int64)
     for start in range(0, len(hashes), at_once):
-        np.minimum(least, (hashes[start : start + at_once, None] * times + plus).min(axis=0), out=least)
-    return [xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+        some = hashes[start : start + at_once]
+        np.minimum(least, (some[:, None] * times + plus).min(axis=0), out=least)
+        total += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    low = (least & np.uint64(3)).astype(np.uint8)
+    bits = (low[0::4] | low[1::4] << 2 | low[2::4] << 4 | low[3::4] << 6).tobytes()
+    if len(hashes) * (LIKE[1] - LIKE[0]) < LIKE[0]:
+        return fp, bits, []
+    raw, width = least[bands].tobytes(), 8 * ROWS
+    return fp, bits, [xxh64_intdigest(raw[width * k : width * (k + 1)], k) for k in range(BANDS)]
 
 
 def _lists(values: list):
@@ -302,25 +316,100 @@ def _lists(values: list):
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_hash, set (the hash of the shingle set), size (of the set), keys (of its bands)."""
+    """doc_id, text_hash, set (the hash of the shingle set), size (of the set), and its sketch: fp, bits, keys."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        signed = lambda values: pa.array(np.array(values, "<u8").view("<i8"))
         for batch in batches:
-            sets, sizes, keys = [], [], []
+            out: list[list] = [[] for _ in range(5)]
             for _, texts in texts_in(batch, "text"):
                 for text in texts:
                     found = shingle_set(text, shingle)
-                    sets.append(set_hash(found))
-                    sizes.append(len(found))
-                    keys.append(band_keys(found))
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(sets, "<u8").view("<i8")), pa.array(sizes, pa.int64()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set", "size", "keys"])
+                    for column, value in zip(out, (set_hash(found), len(found), *sketch(found))):
+                        column.append(value)
+            sets, sizes, fps, bits, keys = out
+            columns = [batch.column("doc_id"), batch.column("text_hash"), signed(sets), pa.array(sizes, pa.int64()), signed(fps), pa.array(bits, pa.binary()), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set", "size", "fp", "bits", "keys"])
+
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, size long, fp long, bits binary, keys array<long>")
+
+
+_TWOS = int.from_bytes(b"\x55" * (HASHES // 4), "little")
+
+
+def shard_pairs(members: list[tuple], main: int | None) -> set[tuple[int, int, int, int]]:
+    """Pairs (a, size of a, b, size of b; a < b) of one shard that may be near, from members (set, size, copies, fp, bits, own, root).
+
+    A BK-tree of the own members' fingerprints gives those within ``NEAR_RADIUS``;
+    of these the two-bit min-hashes must agree ``AGREE`` times and sizes be alike.
+    At first (``main`` is None) each member takes its likest and its most copied
+    one. Later it takes all whose component (``root``) is another; those of the
+    component ``main`` are only searched for.
+    """
+    part, of = LIKE
+    tree, kept = BKTree(), []
+    for m in members:
+        if m[5]:
+            tree.add(m[3])
+            kept.append(m)
+    found = set()
+    for a, size, _, fp, bits, _, root in members:
+        if main is not None and root == main:
+            continue
+        likest = copied = None
+        for place in tree.find(fp, NEAR_RADIUS):
+            b, other, copies, _, theirs, _, its_root = kept[place]
+            if a == b or (main is not None and its_root == root) or min(size, other) * of < max(size, other) * part:
+                continue
+            differ = bits ^ theirs
+            apart = ((differ | differ >> 1) & _TWOS).bit_count()
+            if apart > HASHES - AGREE:
+                continue
+            if main is not None:
+                found.add((a, size, b, other) if a < b else (b, other, a, size))
+                continue
+            likest, copied = min(likest or (apart, -copies, b, other), (apart, -copies, b, other)), min(copied or (-copies, b, other), (-copies, b, other))
+        for *_, b, other in filter(None, (likest, copied)):
+            found.add((a, size, b, other) if a < b else (b, other, a, size))
+    return found
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, size long, keys array<long>")
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """a, na, b, nb of met (key, part, own, set, size, n, fp, bits, root, main), each pair once."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        key, main, members = None, None, []
+
+        def table(found: set):
+            pairs = np.array(list(found), "<i8").reshape(-1, 4)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "na", "b", "nb"])
+
+        for batch in batches:
+            found = set()
+            keys, parts, mains = (batch.column(c).to_pylist() for c in ("key", "part", "main"))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("set", "size", "n", "fp", "bits", "own", "root")))
+            for k, p, m, (one, size, n, fp, bits, own, root) in zip(keys, parts, mains, rows):
+                if (k, p) != key:
+                    if len(members) > 1:
+                        found |= shard_pairs(members, main)
+                    key, main, members = (k, p), m, []
+                members.append((one, size, n, fp & (1 << 64) - 1, int.from_bytes(bits, "little"), own, root))
+            yield table(found)
+        if len(members) > 1:
+            yield table(shard_pairs(members, main))
+
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("_n") / HOT_SHARD)
+    dealt = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("own", F.pmod(F.xxhash64("set"), parts) == F.col("part"))
+    columns = ["key", "part", "own", "set", "size", "n", "fp", "bits", "root", "main"]
+    return dealt.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "set").mapInArrow(run, "a long, na long, b long, nb long").distinct()
 
 
 def _whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -336,13 +425,14 @@ def _whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([set_hash(g) for g in found], "<u8").view("<i8")), _lists(found)], ["set", "grams"])
 
     picks = stored(prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("_hash")).select("_hash"), "near-picks")
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_text")).join(picks, F.col("_text") == F.col("_hash"), "left_semi")
-    return stored(texts.dropDuplicates(["_text"]).select("text").mapInArrow(run, "set long, grams array<long>").dropDuplicates(["set"]), "near-sets")
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_text")).join(picks, F.col("_text") == F.col("_hash"), "left_semi")
+    return stored(texts.dropDuplicates(["_text"]).select("text").mapInArrow(run, "set long, grams array<long>"), "near-sets")
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """u, v: those pairs a, na, b, nb (sets and their sizes) whose likeness is LIKE or more. u > v."""
     part, of = LIKE
+    sets = _whole_sets(docs, prints, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), shingle)
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("grams").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.where(shared * (part + of) >= (F.col("na") + F.col("nb")) * part).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -350,27 +440,21 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, root (a set of the row's component): one row for each row of docs."""
-    part, of = LIKE
-    alike = lambda n, m: F.least(n, m) * of >= F.greatest(n, m) * part
     prints = stored(sketches(docs, shingle), "near-prints")
-    classes = stored(prints.groupBy("set").agg(F.first("size").alias("size"), F.first("keys").alias("keys")), "near-classes")
-    banded = classes.select("set", "size", F.explode("keys").alias("key"))
-    heads = stored(banded.groupBy("key").agg(F.count("*").alias("_n"), F.min(F.struct("set", "size")).alias("head")).where("_n > 1").select("key", "head"), "near-keys")
-    met = stored(banded.join(heads, "key"), "near-met")
-    sets = _whole_sets(docs, prints, met.select("set").distinct(), shingle)
-    with_head = met.where((F.col("set") != F.col("head.set")) & alike(F.col("size"), F.col("head.size")))
-    tried = stored(with_head.select(F.col("head.set").alias("a"), F.col("head.size").alias("na"), F.col("set").alias("b"), F.col("size").alias("nb")).distinct(), "near-tried")
-    edges = stored(_near(tried, sets), "near-links")
+    one = F.first(F.struct("size", "fp", "bits", "keys"))
+    classes = stored(prints.groupBy("set").agg(F.count("*").alias("n"), one.alias("s")).select("set", "n", "s.*"), "near-classes")
+    keys = stored(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-keys")
+    none, of = F.lit(None).cast("long"), classes.select("set", "size", "n", "fp", "bits")
+    met = stored(classes.select("set", F.explode("keys").alias("key")).join(keys, "key"), "near-met")
+    tried = stored(_pairs(met.join(of, "set").withColumns({"root": none, "main": none})), "near-tried")
+    edges = stored(_near(docs, prints, tried, shingle), "near-links")
     comps = stored(components(edges), "near-comps")
-    rooted = met.join(comps.withColumnRenamed("node", "set"), "set", "left").select("key", "set", "size", F.col("head.set").alias("head"), F.coalesce("root", "set").alias("root"))
-    rooted = stored(rooted, "near-rooted")
-    mixed = stored(rooted.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r <> _s").select("key"), "near-mixed")
-    rest = rooted.join(mixed, "key", "left_semi").where(F.col("set") != F.col("head"))
-    x = rest.select("key", F.col("set").alias("a"), F.col("size").alias("na"), F.col("root").alias("_ra"))
-    y = rest.select(F.col("key").alias("_key"), F.col("set").alias("b"), F.col("size").alias("nb"), F.col("root").alias("_rb"))
-    apart = x.join(y, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")) & alike(F.col("na"), F.col("nb")))
-    more = stored(apart.select("a", "na", "b", "nb").distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
-    found = stored(_near(more, sets), "near-links")
+    rooted = stored(met.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "near-rooted")
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("_m"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("_k"), F.max_by("root", F.struct("_m", "root")).alias("main")).where("_k > 1").select("key", "main")
+    rest = _pairs(rooted.join(stored(mixed, "near-mixed"), "key").join(of, "set"))
+    more = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-more")
+    found = stored(_near(docs, prints, more, shingle), "near-links")
     if not found.isEmpty():
         comps = stored(components(edges.union(found)), "near-comps")
     rows = prints.join(comps.withColumnRenamed("node", "set"), "set", "left")
@@ -382,14 +466,13 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     found = stored(near_copies(docs, shingle), "near-found")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     firsts = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("_n")).where("_n > 1").select("root", "first")
-    firsts = stored(firsts, "near-firsts")
-    gone = found.join(firsts, "root").where(place != F.col("first")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"))
-    gone = stored(gone.distinct(), "near-gone")
-    again = stored(found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_hash")), "near-again")
-    names, text_hash = [F.col(f"`{c}`") for c in docs.columns], F.xxhash64(docs["text"])
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_hash == gone["_hash"]), "left_anti")
+    gone = found.join(stored(firsts, "near-firsts"), "root").where(place != F.col("first")).select("doc_id", "text_hash").distinct().withColumn("gone", F.lit(True))
+    again = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id", "text_hash", F.lit(False).alias("gone"))
+    marks = stored(gone.unionByName(again).groupBy("doc_id", "text_hash").agg(F.max("gone").alias("gone")), "near-marks")
+    marks = marks.select(F.struct(F.col("doc_id").alias("id"), "text_hash", "gone").alias("_mark"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    joined = whole.join(marks, F.col("_id").eqNullSafe(F.col("_mark.id")) & (F.col("_hash") == F.col("_mark.text_hash")), "left").where("_mark is null or not _mark.gone")
     if again.isEmpty():
-        return kept
-    here = docs["doc_id"].eqNullSafe(again["_again"]) & (text_hash == again["_hash"])
-    repeated = kept.join(again, here, "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
-    return kept.join(again, here, "left_anti").select(*names).union(repeated)
+        return joined.select("_doc.*")
+    repeated = joined.where("_mark is not null").groupBy("_id", "_hash").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc"))
+    return joined.where("_mark is null").select("_doc.*").union(repeated.select("_doc.*"))
