@@ -45,8 +45,9 @@ def _patterns():
 
     import regex
 
+    special = "|".join(map(re.escape, SPECIAL))
     marks = "|".join("'" + "".join(f"[{c}{c.upper()}]" for c in tail) for tail in ("s", "t", "re", "ve", "m", "ll", "d"))
-    return re.compile(r"[ \n]*[^ \n]*"), regex.compile("|".join(map(re.escape, SPECIAL)) + f"|{marks}" + r"|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    return re.compile(r"[ \n]*[^ \n]*"), regex.compile(f"{special}|{marks}|\\p{{L}}+|\\p{{N}}|(?:(?!{special})[^\\s\\p{{L}}\\p{{N}}])+")
 
 
 def _plain(text: str) -> bool:
