@@ -6,8 +6,8 @@ plan is made from the number of pieces of each length alone, which is at most
 open sequences with the least room that is enough, and whole runs of equal
 sequences are filled at once, so the plan is a short table of slot runs. Pieces
 then take slots by their rank within their length. A crowded length is ranked
-in chunks of about ``CHUNK`` pieces by a hash of the document, so no task ranks
-a whole length.
+in chunks of about ``CHUNK`` pieces by a hash of the piece and of where it was made,
+so no task ranks a whole length, nor all the pieces of a repeated id or text.
 
 Defined cases: a null text counts as an empty one and gives the final id alone;
 rows that share a doc_id are packed each; an empty table gives an empty result;
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pagelode.llm.common import default_tokenizer, encoder, small_batches, stored, texts_in
 
 CAPACITY = 2048
-CHUNK = 10_000
+CHUNK = 1000
+#: Up to so many runs the plan is broadcast (about 6 MB).
+MOST_RUNS = 100_000
 END_ID = 0
 
 
@@ -75,9 +77,9 @@ def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and the ids themselves if asked for."""
+    """doc_id, piece, start, length, ids_crc32, salt (a number of the row within its task), and the ids themselves if asked for."""
     path = tokenizer or default_tokenizer()
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, piece int, start long, length int, ids_crc32 long, salt long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator) -> Iterator:
         from zlib import crc32
@@ -85,21 +87,22 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         import numpy as np
         import pyarrow as pa
 
-        end, width, own = END_ID.to_bytes(4, "little"), 4 * capacity, encoder(path)
+        end, width, own, salt = END_ID.to_bytes(4, "little"), 4 * capacity, encoder(path), 0
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             for begin, texts in texts_in(batch, "text"):
-                out: list[list] = [[] for _ in range(5 + with_ids)]
+                out: list[list] = [[] for _ in range(6 + with_ids)]
                 for key, text in zip(keys[begin:], texts):
                     ids = own.ids(text or "") + end
                     for k, start in enumerate(range(0, len(ids), width)):
                         part = ids[start : start + width]
-                        for column, value in zip(out, (key, k, start // 4, len(part) // 4, crc32(part))):
+                        for column, value in zip(out, (key, k, start // 4, len(part) // 4, crc32(part), salt)):
                             column.append(value)
+                        salt += 1
                         if with_ids:
-                            out[5].append(np.frombuffer(part, "<u4").astype("<i8"))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+                            out[6].append(np.frombuffer(part, "<u4").astype("<i8"))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt", "ids"][: len(out)])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -109,20 +112,21 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     chunks = [1] + [-(-counts.get(k, 0) // CHUNK) or 1 for k in range(1, capacity + 1)]
-    of = F.when(F.lit(max(chunks) > 1), F.pmod(F.xxhash64("doc_id", "piece"), F.get(F.array(*map(F.lit, chunks)), F.col("length")))).otherwise(0).cast("long")
+    of = F.when(F.lit(max(chunks) > 1), F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.get(F.array(*map(F.lit, chunks)), F.col("length")))).otherwise(0).cast("long")
     dealt = cut.withColumn("_chunk", of)
     sums = dealt.groupBy("length", "_chunk").agg(F.count("*").alias("_n"))
     bases = stored(
         sums.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy("length").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n"), "pack-bases"
     )
-    inside = F.row_number().over(W.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32"))
+    inside = F.row_number().over(W.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32", "salt"))
     ranked = dealt.withColumn("_in", inside).join(bases, ["length", "_chunk"]).withColumn("_rank", F.col("_base") + F.col("_in") - 1)
-    slots = spark.createDataFrame(plan_slots(counts, capacity), "_length int, _from long, _to long, _first long, _each long, _at long")
-    # Its rows are bounded by the plan over at most `capacity` lengths, not by the corpus.
-    got = ranked.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    plan = plan_slots(counts, capacity)
+    slots = spark.createDataFrame(plan, "_length int, _from long, _to long, _first long, _each long, _at long")
+    # Its rows depend on the plan over at most `capacity` lengths, not on the corpus.
+    got = ranked.join(F.broadcast(slots) if len(plan) <= MOST_RUNS else slots, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     into = F.col("_rank") - F.col("_from")
     return got.select(
-        *cut.columns,
+        *[c for c in cut.columns if c != "salt"],
         (F.col("_first") + F.floor(into / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_at") + F.pmod(into, F.col("_each")) * F.col("length")).cast("long").alias("offset"),
     ).withColumn("length", F.col("length").cast("long"))
