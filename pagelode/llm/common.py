@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +23,50 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only on a local master where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pagelode-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Where scratch tables go just now, if not to the root's own folder.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/pagelode/{name}-{uuid.uuid4().hex}"
+    return f"{_FOLDER.get() or scratch_root(spark) + '/pagelode'}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared scratch folder and read back: lineage is cut, and its measured size decides whether joins broadcast it."""
-    spark = df.sparkSession
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for the scratch tables made within, which are removed at the end: results must be written elsewhere before."""
     path = scratch_path(spark, name)
+    before = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(before)
+        remove(spark, path)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written to the shared scratch folder (or to path) and read back: lineage is cut, and its measured size decides whether joins broadcast it."""
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def delete_scratch(spark: SparkSession) -> None:
     """Remove every scratch table of this library; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/pagelode")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{scratch_root(spark)}/pagelode")
 
 
 def words_of(text: Column) -> Column:

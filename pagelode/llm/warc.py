@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import scratch_path, small_batches, stored
+from pagelode.llm.common import remove, scratch_path, small_batches, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CHUNK = 1 << 20
@@ -43,7 +43,10 @@ def base32_of(hexed: Column) -> Column:
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, payload_digest, record_type, refers_to.
+    """page_id, url, html, payload_digest, record_type, refers_to, name, of_name.
+
+    ``name`` is the name of the record that is the only response with its payload
+    (else null), ``of_name`` that of the record which a revisit refers to.
 
     Only payloads that occur twice or more are joined back, so the pages are
     not shuffled unless those are too many to broadcast; then a crowded digest
@@ -52,12 +55,15 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("_sha1", F.sha1(F.encode("html", "UTF-8")))
     long_enough = rows.where(F.octet_length("html") >= least)
-    shared = stored(long_enough.groupBy("_sha1").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1"), "warc-shared")
-    found = rows.join(shared, "_sha1", "left")
+    pages_of = long_enough.groupBy("_sha1", "page_id").agg(F.count("*").alias("_n"))
+    shared = pages_of.groupBy("_sha1").agg(F.max("page_id").alias("_last"), F.sum("_n").alias("_n"), F.max_by("_n", F.struct("page_id")).alias("_m")).where("_n > 1")
+    found = rows.join(stored(shared, "warc-shared"), "_sha1", "left").withColumn("_d", base32_of(F.col("_sha1")))
     revisit = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
+    sole = F.when(F.col("_n").isNull(), F.octet_length("html") >= least).otherwise(~revisit & (F.col("_m") == 1))
+    name = lambda page: F.concat(F.lit("urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), "_d")
     return found.select(
-        "page_id", "url", "html", base32_of(F.col("_sha1")).alias("payload_digest"),
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_last")).alias("refers_to"),
+        "page_id", "url", "html", F.col("_d").alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_last")).alias("refers_to"),
+        F.when(sole, name(F.col("page_id"))).alias("name"), F.when(revisit & (F.col("_m") == 1), name(F.col("_last"))).alias("of_name"),
     )
 
 
@@ -65,15 +71,18 @@ def _clean(url: str) -> str:
     return "".join(c if " " < c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record_bytes(page_id, url, html: str, digest: str, kind: str, refers_to) -> bytes:
+def record_bytes(page_id, url, html: str, digest: str, kind: str, refers_to, name: str | None, of_name: str | None, place: str = "") -> bytes:
+    """A record. One without a name of its own is named by ``place``, which must differ from record to record."""
     payload = html.encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name or f'urn:x-record:{place}'}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     lines += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     lines += [f"WARC-Target-URI: {_clean(url)}"] if url is not None else []
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{of_name}>"] if of_name else []
+        lines += [f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -119,17 +128,18 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             return
         store.create_dir(top, recursive=True)
         name, n = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        run_id = top.rstrip("/").rsplit("/", 2)[-2]
         with _Moved(store, f"{top}/{name}") as out:
             press = zlib.compressobj(1, zlib.DEFLATED, 31)
             for batch in (b for some in ([first], batches) for b in some):
                 for start in range(0, len(batch), 256):
                     for row in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
-                        out.write(press.compress(record_bytes(*row)))
+                        out.write(press.compress(record_bytes(*row, f"{run_id}:{name}:{n}")))
                         n += 1
             out.write(press.flush())
         yield pa.RecordBatch.from_pydict({"archive": [name], "n_records": [n]})
 
-    return small_batches(rows).select("page_id", "url", "html", "payload_digest", "record_type", "refers_to").mapInArrow(run, "archive string, n_records long")
+    return small_batches(rows).select("page_id", "url", "html", "payload_digest", "record_type", "refers_to", "name", "of_name").mapInArrow(run, "archive string, n_records long")
 
 
 def _header(stream) -> list[bytes] | None:
@@ -204,8 +214,8 @@ def parse_record(raw: bytes) -> tuple:
     digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError("a payload does not fit its digest")
-    page, to = fields.get("x-page-id"), fields.get("warc-refers-to", "").removeprefix("<urn:x-page:").rstrip(">")
-    to = int(to) if to and to != "None" else None
+    page, to = fields.get("x-page-id"), fields.get("x-refers-to-page")
+    to = int(to) if to is not None else None
     return int(page) if page is not None else None, fields.get("warc-target-uri"), None if kind == "revisit" else payload, size, digest, kind, to
 
 
@@ -241,4 +251,5 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     written = stored(write_archives(records(pages, least), f"{folder}/monolithic"), "warc-written")
     tasks = max(1, written.count())
     normal = stored(normalise(written, f"{folder}/monolithic", f"{folder}/normal", tasks), "warc-normal")
+    remove(pages.sparkSession, f"{folder}/monolithic")
     return read_records(normal, f"{folder}/normal", tasks)

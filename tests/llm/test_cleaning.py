@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from oracle import rows
+from pyspark.sql import functions as F
 
 from pagelode.llm import language_id, quality_classifier, quality_rules, url_filters
 
@@ -68,6 +69,95 @@ def test_em_finds_labellers_that_are_mostly_right():
     assert quality_classifier.estimate({}) == ({}, [])
 
 
+def brute_votes(text):
+    """What each labeller votes, from the words themselves: 2 good, 1 bad, 0 abstains."""
+    raw = (text or "").encode()
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, chars, kinds = len(ws), sum(map(len, ws)), len(set(ws))
+    symbols, upper = sum(c in b"#*$%&|<>" for c in raw), sum(65 <= c <= 90 for c in raw)
+    stops = len({w.decode("utf-8", "replace") for w in ws} & set(quality_classifier.STOP_WORDS))
+    stutters, stopped, last = sum(a == b for a, b in zip(ws, ws[1:])), sum(c in b".!?" for c in raw), ws[-1][-1] if ws else 0
+    vote = lambda bad, good: 1 if bad else 2 if good else 0
+    return [
+        vote(n < 10, n >= 40), vote(n and symbols > 0.1 * n, n and symbols < 0.01 * n), vote(stops == 0, stops >= 3) if n >= 20 else 0, vote(kinds < 0.12 * n, kinds > 0.3 * n) if n >= 50 else 0,
+        vote(chars < 2.5 * n or chars > 14 * n, 3 * n <= chars <= 9 * n) if n >= 5 else 0, vote(stutters > 0.15 * n, stutters < 0.03 * n) if n >= 5 else 0,
+        vote(upper > 0.3 * chars, upper < 0.15 * chars) if chars >= 20 else 0, vote(last in b"#*$%&|<>" if last else False, last in b".!?" if last else False),
+        vote(n > 120 * stopped, 2 * stopped <= n <= 50 * stopped) if n >= 20 else 0,
+    ]
+
+
+def brute_posteriors(casts):
+    """Expectation-maximisation over documents one by one."""
+    post = [min(0.98, max(0.02, 0.5 + 0.5 * (c.count(2) - 1.5 * c.count(1)) / max(1, 9 - c.count(0)))) for c in casts]
+    for _ in range(200):
+        share = min(0.98, max(0.02, sum(post) / len(post)))
+        right, wrong = [], []
+        for k in range(9):
+            voted = [(p, c[k]) for p, c in zip(post, casts) if c[k]]
+            right.append((2 + sum(p for p, v in voted if v == 2)) / (4 + sum(p for p, _ in voted)))
+            wrong.append((2 + sum(1 - p for p, v in voted if v == 2)) / (4 + sum(1 - p for p, _ in voted)))
+        new = []
+        for c in casts:
+            good, bad = share, 1 - share
+            for k, v in enumerate(c):
+                if v:
+                    good *= right[k] if v == 2 else 1 - right[k]
+                    bad *= wrong[k] if v == 2 else 1 - wrong[k]
+            new.append(good / (good + bad))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        if done:
+            break
+        post = new
+    return post
+
+
+def brute_features(text):
+    """The hashed features as a dense vector, from the words themselves."""
+    raw = (text or "").encode()
+    ws, v, start = re.findall(rb"[^\x20\x09-\x0D]+", raw), np.zeros(quality_classifier.WIDTH), quality_classifier.WIDTH - 256 - 33
+    if not ws:
+        return v
+    words, ends = Counter(ws), Counter(w[-1] for w in ws)
+    square = sum(np.log1p(n) ** 2 for n in words.values()) + sum((3 * np.log1p(n)) ** 2 for n in ends.values())
+    shares = [sum(a == b for a, b in zip(ws, ws[1:])) / len(ws), sum(65 <= c <= 90 for c in raw) / len(raw), len(words) / len(ws)]
+    for w, n in words.items():
+        v[zlib.crc32(w) % start] += np.log1p(n)
+    for k, x in enumerate(shares):
+        v[start + 11 * k + round(10 * x)] += 0.5 * square**0.5
+    for e, n in ends.items():
+        v[quality_classifier.WIDTH - 256 + e] += 3 * np.log1p(n)
+    return v / (square + 3 * 0.25 * square) ** 0.5
+
+
+def test_classifier_equals_brute_force(spark, odd_docs):
+    rng, words = np.random.default_rng(4), ["the", "of", "and", "cat", "house", "runs", "über", "la", "Big", "grass"]
+    data = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect() if r.doc_id != 6]
+    for i in range(60):
+        some = list(rng.choice(words, rng.integers(5, 120))) if i % 3 else ["##", "BUY", "BUY", "$$"] * int(rng.integers(3, 30))
+        data.append((100 + i, " ".join(some) + rng.choice([".", "", "!", " |"])))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    casts = [brute_votes(t) for _, t in data]
+    post = brute_posteriors(casts)
+    x = np.array([brute_features(t) for _, t in data])
+    y = np.array(post)
+    weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
+    w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
+    wide = np.hstack([x, np.ones((len(x), 1))])
+    for step in range(1, 151):  # full-batch Adam on the weighted logistic loss
+        slope = wide.T @ (weight * (1 / (1 + np.exp(-(wide @ w))) - y)) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-12)
+    score = 1 / (1 + np.exp(-(wide @ w)))
+    want = {}
+    for (d, t), cast, p, s in zip(data, casts, post, score):
+        want.setdefault((d, t), (int("".join(map(str, cast)), 3), p, s))
+    got = quality_classifier.classify(docs.withColumn("score", docs["text"])).join(docs.select(docs["doc_id"].alias("d"), "text").distinct(), F.col("doc_id").eqNullSafe(F.col("d"))).collect()
+    assert len(got) == len(data) and len({round(p, 3) for p in post}) > 5
+    for r in got:
+        code, p, s = want[r.d, r.text]
+        assert r.votes == code and r.posterior == pytest.approx(p, abs=1e-6) and r.score == pytest.approx(s, abs=1e-4) and r.kept == (r.score >= 0.5)
+
+
 def test_classifier_cases(odd_docs, no_docs):
     got = quality_classifier.classify(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
