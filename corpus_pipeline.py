@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 what a stage returns as Parquet to the shared scratch folder and rereads it as
-the next one's documents. All but the last return the columns of documents.
+the next one's documents. All but the last return the columns of documents. What
+a stage stores for itself is removed when its rows are written, its documents
+when the next stage's are.
+
+Defined cases: null and empty texts have no words, so the first stage drops them;
+null doc_id, lang and source are values like others (a document without an id
+stays unless it is a copy); of equal documents and of near copies the smallest
+id stays, of rows that repeat id and text one; very long texts are read whole;
+further columns pass through whatever their names, but for the last stage, which
+has columns of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelode.llm import language_id, mixing, packing, quality_rules, simhash
-from pagelode.llm.common import stored
+from pagelode.llm.common import remove, scratch_folder, scratch_path, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_folder(spark, f"stage-{name}"):
+            docs = stored(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
