@@ -500,23 +500,59 @@ def test_normaliser_makes_members():
 
 
 def test_pipeline_stages(spark, odd_docs, tmp_path):
+    """Stages over nulls, repeats, long texts and clashing columns."""
     import corpus_pipeline
 
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = common.stored(odd_docs.select(*columns), "t")
-    seen = [docs.count()]
+    docs = common.stored(odd_docs, "t")
+    columns, seen = docs.columns, [docs.count()]
+    assert {"_w", "shard", "h", "first", "size"} <= set(columns)
     for name, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, str(tmp_path)), name)
         seen.append(docs.count())
         if name != "best_fit_packing":
             assert docs.columns == columns
     assert seen[0] > seen[1] >= seen[2] > seen[3] > 0 and seen[-1] > 0
-    empty = odd_docs.select(*columns).where("false")
+    empty = odd_docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_scratch_of_a_run_is_removed(spark, odd_docs, tmp_path):
+    import os
+
+    import corpus_pipeline
+
+    odd_docs.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"{common.scratch_root(spark)}/pagelode".removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and "best_fit_packing" in left.pop() and out.count() > 0
+
+
+def brute_pipeline(docs):
+    """(doc_id, copies) of what the first four stages keep, and the sizes by source."""
+    from test_cleaning import brute_measures
+
+    kept = []
+    for d, t, *rest in docs:
+        n, chars, symbols, dup_lines, repeats = brute_measures(t)
+        lines = [x for x in t.split("\n") if x.strip()]
+        stutters = sum(a == b for a, b in zip(words(t), words(t)[1:]))
+        digits, cut = sum(c in "0123456789" for c in t), sum(x.endswith(("...", "…")) for x in lines)
+        bad = n < 10 or 100 * repeats > 20 * n or 10 * symbols > n or not 2 * n <= chars <= 20 * n or 2 * dup_lines > len(lines) or 2 * digits > chars or 10 * cut > 3 * len(lines) or 10 * stutters > 3 * n
+        if not bad:
+            kept.append((d, t, *rest))
+    first = []
+    for d, t, *rest in sorted(kept):
+        mine = shingles5(t)
+        if all(len(mine & s) < 0.8 * len(mine | s) for *_, s in first):
+            first.append((d, t, *rest, mine))
+    return [x[:-1] for x in first]
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every document that the rules keep and that copies no earlier one is packed, as often as its source's target asks, with the tokenizer's length."""
     import corpus_pipeline
 
     rng = random.Random(6)
@@ -524,14 +560,33 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     docs, fresh = [], lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
     for i in range(60):
         docs.append((i, fresh(80), "en", f"s{i % 3}"))
-    docs += [(100, docs[0][1], "en", "s0"), (101, "## ** $$ " * 30, "en", "s1"), (102, "too short", "en", "s1")]
+    near = docs[4][1].split()
+    near[10] = "changed"
+    docs += [(100, docs[0][1], "en", "s0"), (101, "## ** $$ " * 30, "en", "s1"), (102, "too short", "en", "s1"), (103, " ".join(near), "en", "s2"), (104, fresh(40) + "\n" + fresh(40), "en", "s2")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    prints = [(d, brute_fingerprint(t, 5)) for d, t, *_ in docs if d < 101]
-    heads = {d for (d, _), c in zip(prints, brute_components(prints)) if d == c}
-    assert {r.doc_id for r in got} <= heads and 100 not in {r.doc_id for r in got}
+    kept = brute_pipeline(docs)
+    assert {r[0] for r in kept} == {*range(60), 104}
     tokenizer = Tokenizer.from_file(common.default_tokenizer())
     size = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t, *_ in docs}
-    assert all(r.length == size[r.doc_id] for r in got)
-    taken = sum(len(words(docs[r.doc_id][1])) for r in got)
-    assert abs(taken - 1.5 * 80 * len(heads)) <= 3 * 80
+    assert all(r.length == size[r.doc_id] and r.start == 0 for r in got)
+    copies = defaultdict(int)
+    for r in got:
+        copies[r.doc_id] += 1
+    sizes = {s: sum(len(words(t)) for _, t, _, source in kept if source == s) for s in ("s0", "s1", "s2")}
+    total, weights = 1.5 * sum(sizes.values()), {"s0": 3, "s1": 1, "s2": 2}
+    target = {s: total * w / 6 for s, w in weights.items()}
+    target["s0"] = min(target["s0"], 2.0 * sizes["s0"])
+    rest = total - target["s0"]
+    target |= {"s1": rest / 3, "s2": 2 * rest / 3}
+    assert target["s1"] < 2 * sizes["s1"] and target["s2"] < 2 * sizes["s2"]
+    for s in sizes:
+        mine = [(copies[d], len(words(t))) for d, t, _, source in kept if source == s]
+        base = int(target[s] // sizes[s])
+        assert {c for c, _ in mine} <= {base, base + 1}
+        assert abs(sum(c * n for c, n in mine) - target[s]) <= 41
+    assert {d for d, c in copies.items() if c} <= {r[0] for r in kept}
+    room = defaultdict(int)
+    for r in got:
+        room[r.sequence_id] += r.length
+    assert max(room.values()) <= 2048 and len(room) <= -(-sum(room.values()) // 2048) + 1
