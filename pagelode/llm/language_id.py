@@ -19,7 +19,8 @@ those whose crc32 of doc_id (as text) modulo 4 is not 2. Predictions see whole
 texts and nothing else.
 
 Scores of one-versus-rest regression add up to 1, so the best of K is never below
-1/K; ``keep_known`` judges by the lead of the best over the second instead.
+1/K; ``keep_known`` judges by how much of the way from there to 1 it has gone, so
+that texts in two learned languages stay and the number of languages does not count.
 
 Defined cases: a null text, one without letters (of any plane), and any text
 where nothing could be learned get ``und`` and score 0; rows with null lang are
@@ -47,8 +48,8 @@ LANDMARKS, LANDMARKS_PER_LANG = 1024, 32
 SAMPLE_GRAMS, MARK_GRAMS = 64_000_000, 8_000_000
 #: Up to so many cells the landmarks' matrix is dense.
 DENSE_CELLS = 16_000_000
-#: The least lead of a known language.
-LEAST_LEAD = 0.1
+#: The least excess over an even share of a known language; held-out documents in one or two languages have 0.2 and more.
+LEAST_EXCESS = 0.15
 SIDE = 64
 STARTS = (0, SIDE, SIDE + SIDE**2)
 SPACE = SIDE + SIDE**2 + SIDE**3
@@ -258,20 +259,14 @@ def _shared(docs: DataFrame, model: KernelModel | None):
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def _best(model: KernelModel | None, spectrum: Spectrum, texts: list) -> Iterator[tuple[int, str, float, float]]:
-    """(place, language, score, lead over the second) of those texts that have a letter."""
+def _best(model: KernelModel | None, spectrum: Spectrum, texts: list) -> Iterator[tuple[int, str, float]]:
+    """(place, language, score) of those texts that have a letter."""
     grams = [spectrum(t) for t in texts]
     known = [i for i, g in enumerate(grams) if g is not None] if model else []
     if known:
-        import numpy as np
-
         found = model.scores([grams[i] for i in known])
-        best, rows = found.argmax(axis=1), np.arange(len(known))
-        top = found[rows, best]
-        found[rows, best] = -np.inf
-        second = found.max(axis=1) if found.shape[1] > 1 else np.zeros(len(known))
-        for i, b, t, s in zip(known, best, top, second):
-            yield i, model.langs[b], float(t), float(t - s)
+        for i, best, value in zip(known, found.argmax(axis=1), found.max(axis=1)):
+            yield i, model.langs[best], float(value)
 
 
 def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
@@ -286,7 +281,7 @@ def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
         for batch in batches:
             langs, scores = ["und"] * len(batch), np.zeros(len(batch))
             for start, texts in texts_in(batch, "text", 128):
-                for i, lang, value, _ in _best(own, spectrum, texts):
+                for i, lang, value in _best(own, spectrum, texts):
                     langs[start + i], scores[start + i] = lang, min(1.0, max(0.0, value))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -298,18 +293,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = LEAST_LEAD) -> DataFrame:
-    """docs, with their columns, whose language is known: the best score leads the second by ``least`` or more (of one learned language: 0)."""
-    shared = _shared(docs, fit(docs))
+def keep_known(docs: DataFrame, least: float = LEAST_EXCESS) -> DataFrame:
+    """docs, with their columns, whose language is known: the best of K scores lies ``least`` of the way from 1/K to 1 or more (of one learned language, whatever has a letter)."""
+    model = fit(docs)
+    shared, even = _shared(docs, model), 1 / len(model.langs) if model else 1.0
 
     @F.pandas_udf("double")
-    def lead(texts: pd.Series) -> pd.Series:
+    def excess(texts: pd.Series) -> pd.Series:
         import numpy as np
 
         spectrum, own, out = Spectrum(), shared.value, np.full(len(texts), -1.0)
         for start in range(0, len(texts), 128):
-            for i, _, _, value in _best(own, spectrum, texts.iloc[start : start + 128]):
-                out[start + i] = value
+            for i, _, value in _best(own, spectrum, texts.iloc[start : start + 128]):
+                out[start + i] = (value - even) / (1 - even) if even < 1 else 1.0
         return pd.Series(out)
 
-    return small_batches(docs).where(lead(F.col("text").cast("string")) >= least)
+    return small_batches(docs).where(excess(F.col("text").cast("string")) >= least)
