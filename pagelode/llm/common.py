@@ -69,6 +69,32 @@ def delete_scratch(spark: SparkSession) -> None:
     remove(spark, f"{scratch_root(spark)}/pagelode")
 
 
+#: Words of 64 bits in a bitmap: it is broadcast, whatever the number of its keys.
+BITMAP_WORDS = 1 << 20
+
+
+def _cell(key: Column) -> tuple[Column, Column]:
+    """(word, bit) of a key."""
+    h = F.xxhash64(key, F.lit(7))
+    return h.bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+
+
+def bitmap(keys: DataFrame, name: str) -> DataFrame:
+    """word, bits: a bitmap of the hashes of keys (one long column), at most ``BITMAP_WORDS`` rows. With some hundred millions of keys it is full and parts nothing any more."""
+    word, bit = _cell(F.col(keys.columns[0]))
+    one = F.expr("1L")
+    return stored(keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias("bits")), name)
+
+
+def with_likely(df: DataFrame, key: Column, bits: DataFrame, name: str = "_likely") -> DataFrame:
+    """df with a flag: false only where key is surely not in the bitmap. So what is not sought need not be shuffled."""
+    word, bit = _cell(key)
+    held = bits.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    marked = df.withColumn("_at", word).withColumn("_bit", bit).join(F.broadcast(held), F.col("_at") == F.col("_word"), "left")
+    found = F.call_function("shiftrightunsigned", F.coalesce("_bits", F.lit(0).cast("long")), F.col("_bit")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.withColumn(name, found).drop("_at", "_bit", "_word", "_bits")
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs without ASCII white space; null and blank texts give an empty array."""
     trimmed = F.btrim(text, F.lit(SPACES))

@@ -40,7 +40,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import small_batches, stored, texts_in
+from pagelode.llm.common import bitmap, small_batches, stored, texts_in, with_likely
 
 RADIUS = 2
 HOT_SHARD = 4096
@@ -341,14 +341,15 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
 _TWOS = int.from_bytes(b"\x55" * (HASHES // 4), "little")
 
 
-def shard_pairs(members: list[tuple], main: int | None) -> set[tuple[int, int, int, int]]:
-    """Pairs (a, size of a, b, size of b; a < b) of one shard that may be near, from members (set, size, copies, fp, bits, own, root).
+def shard_pairs(members: list[tuple], main: int | None, key: int | None = None) -> set[tuple[int, int, int, int]]:
+    """Pairs (a, size of a, b, size of b; a < b) of one shard that may be near, from members (set, size, copies, fp, bits, own, root, keys).
 
     A BK-tree of the own members' fingerprints gives those within ``NEAR_RADIUS``;
     of these the two-bit min-hashes must agree ``AGREE`` times and sizes be alike.
     At first (``main`` is None) each member takes its likest and its most copied
     one. Later it takes all whose component (``root``) is another; those of the
-    component ``main`` are only searched for.
+    component ``main`` are only searched for, and a pair is given by the smallest
+    of the keys that both have.
     """
     part, of = LIKE
     tree, kept = BKTree(), []
@@ -357,12 +358,12 @@ def shard_pairs(members: list[tuple], main: int | None) -> set[tuple[int, int, i
             tree.add(m[3])
             kept.append(m)
     found = set()
-    for a, size, _, fp, bits, _, root in members:
+    for a, size, _, fp, bits, _, root, keys in members:
         if main is not None and root == main:
             continue
         likest = copied = None
         for place in tree.find(fp, NEAR_RADIUS):
-            b, other, copies, _, theirs, _, its_root = kept[place]
+            b, other, copies, _, theirs, _, its_root, its_keys = kept[place]
             if a == b or (main is not None and its_root == root) or min(size, other) * of < max(size, other) * part:
                 continue
             differ = bits ^ theirs
@@ -370,7 +371,8 @@ def shard_pairs(members: list[tuple], main: int | None) -> set[tuple[int, int, i
             if apart > HASHES - AGREE:
                 continue
             if main is not None:
-                found.add((a, size, b, other) if a < b else (b, other, a, size))
+                if min(keys & its_keys) == key:
+                    found.add((a, size, b, other) if a < b else (b, other, a, size))
                 continue
             likest, copied = min(likest or (apart, -copies, b, other), (apart, -copies, b, other)), min(copied or (-copies, b, other), (-copies, b, other))
         for *_, b, other in filter(None, (likest, copied)):
@@ -379,7 +381,7 @@ def shard_pairs(members: list[tuple], main: int | None) -> set[tuple[int, int, i
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """a, na, b, nb of met (key, part, own, set, size, n, fp, bits, root, main), each pair once."""
+    """a, na, b, nb of met (key, _n, set, size, n, fp, bits, root, main, keys), each pair once."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -394,21 +396,21 @@ def _pairs(met: DataFrame) -> DataFrame:
         for batch in batches:
             found = set()
             keys, parts, mains = (batch.column(c).to_pylist() for c in ("key", "part", "main"))
-            rows = zip(*(batch.column(c).to_pylist() for c in ("set", "size", "n", "fp", "bits", "own", "root")))
-            for k, p, m, (one, size, n, fp, bits, own, root) in zip(keys, parts, mains, rows):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("set", "size", "n", "fp", "bits", "own", "root", "keys")))
+            for k, p, m, (one, size, n, fp, bits, own, root, all_keys) in zip(keys, parts, mains, rows):
                 if (k, p) != key:
                     if len(members) > 1:
-                        found |= shard_pairs(members, main)
+                        found |= shard_pairs(members, main, key[0])
                     key, main, members = (k, p), m, []
-                members.append((one, size, n, fp & (1 << 64) - 1, int.from_bytes(bits, "little"), own, root))
+                members.append((one, size, n, fp & (1 << 64) - 1, int.from_bytes(bits, "little"), own, root, frozenset(all_keys or ())))
             yield table(found)
         if len(members) > 1:
-            yield table(shard_pairs(members, main))
+            yield table(shard_pairs(members, main, key[0]))
 
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.ceil(F.col("_n") / HOT_SHARD)
     dealt = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("own", F.pmod(F.xxhash64("set"), parts) == F.col("part"))
-    columns = ["key", "part", "own", "set", "size", "n", "fp", "bits", "root", "main"]
+    columns = ["key", "part", "own", "set", "size", "n", "fp", "bits", "root", "main", "keys"]
     return dealt.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "set").mapInArrow(run, "a long, na long, b long, nb long").distinct()
 
 
@@ -425,7 +427,8 @@ def _whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([set_hash(g) for g in found], "<u8").view("<i8")), _lists(found)], ["set", "grams"])
 
     picks = stored(prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("_hash")).select("_hash"), "near-picks")
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_text")).join(picks, F.col("_text") == F.col("_hash"), "left_semi")
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    texts = with_likely(texts, F.col("_text"), bitmap(picks, "near-bitmap")).where("_likely").drop("_likely").join(picks, F.col("_text") == F.col("_hash"), "left_semi")
     return stored(texts.dropDuplicates(["_text"]).select("text").mapInArrow(run, "set long, grams array<long>"), "near-sets")
 
 
@@ -445,14 +448,15 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     classes = stored(prints.groupBy("set").agg(F.count("*").alias("n"), one.alias("s")).select("set", "n", "s.*"), "near-classes")
     keys = stored(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-keys")
     none, of = F.lit(None).cast("long"), classes.select("set", "size", "n", "fp", "bits")
-    met = stored(classes.select("set", F.explode("keys").alias("key")).join(keys, "key"), "near-met")
-    tried = stored(_pairs(met.join(of, "set").withColumns({"root": none, "main": none})), "near-tried")
+    banded = with_likely(classes.select("set", F.explode("keys").alias("key")), F.col("key"), bitmap(keys.select("key"), "near-bitmap")).where("_likely").select("set", "key")
+    met = stored(banded.join(keys, "key"), "near-met")
+    tried = stored(_pairs(met.join(of, "set").withColumns({"root": none, "main": none, "keys": F.lit(None).cast("array<long>")})), "near-tried")
     edges = stored(_near(docs, prints, tried, shingle), "near-links")
     comps = stored(components(edges), "near-comps")
     rooted = stored(met.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "near-rooted")
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("_m"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("_k"), F.max_by("root", F.struct("_m", "root")).alias("main")).where("_k > 1").select("key", "main")
-    rest = _pairs(rooted.join(stored(mixed, "near-mixed"), "key").join(of, "set"))
+    rest = _pairs(rooted.join(stored(mixed, "near-mixed"), "key").join(classes.select("set", "size", "n", "fp", "bits", "keys"), "set"))
     more = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-more")
     found = stored(_near(docs, prints, more, shingle), "near-links")
     if not found.isEmpty():
@@ -469,10 +473,14 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     gone = found.join(stored(firsts, "near-firsts"), "root").where(place != F.col("first")).select("doc_id", "text_hash").distinct().withColumn("gone", F.lit(True))
     again = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id", "text_hash", F.lit(False).alias("gone"))
     marks = stored(gone.unionByName(again).groupBy("doc_id", "text_hash").agg(F.max("gone").alias("gone")), "near-marks")
+    key = lambda d, h: F.xxhash64(d, h)
+    bits = bitmap(marks.select(key("doc_id", "text_hash")), "near-bitmap")
     marks = marks.select(F.struct(F.col("doc_id").alias("id"), "text_hash", "gone").alias("_mark"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
-    joined = whole.join(marks, F.col("_id").eqNullSafe(F.col("_mark.id")) & (F.col("_hash") == F.col("_mark.text_hash")), "left").where("_mark is null or not _mark.gone")
+    whole = with_likely(whole, key("_id", "_hash"), bits)
+    clear = whole.where("not _likely").select("_doc.*")
+    joined = whole.where("_likely").join(marks, F.col("_id").eqNullSafe(F.col("_mark.id")) & (F.col("_hash") == F.col("_mark.text_hash")), "left").where("_mark is null or not _mark.gone")
     if again.isEmpty():
-        return joined.select("_doc.*")
+        return clear.union(joined.select("_doc.*"))
     repeated = joined.where("_mark is not null").groupBy("_id", "_hash").agg(F.min_by("_doc", F.xxhash64(F.to_json("_doc"))).alias("_doc"))
-    return joined.where("_mark is null").select("_doc.*").union(repeated.select("_doc.*"))
+    return clear.union(joined.where("_mark is null").select("_doc.*")).union(repeated.select("_doc.*"))
