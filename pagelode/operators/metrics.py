@@ -72,14 +72,15 @@ def macro(counts: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> D
 
 
 def targeted(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counters of errors that hurt most."""
+    """Counters of errors that hurt most. Tables and form rows may stand for each other, and separators for page furniture."""
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n")).otherwise(0)), F.lit(0))
-    g, p = F.col("gold"), F.col("pred")
+    g, p = F.coalesce("gold", F.lit("")), F.coalesce("pred", F.lit(""))
+    tables = ("table_like", "form_row")
     return counts.groupBy(*by).agg(
-        n((p == "heading") & (g != "heading")).alias("heading_false_positive"), n((g == "separator") & (p == "list_item")).alias("separator_as_list"),
-        n((p == "table_like") & (g != "table_like")).alias("false_table"), n((p == "footer_header_noise") & (g != "footer_header_noise")).alias("false_noise"),
-        n((g == "footer_header_noise") & (p != "footer_header_noise")).alias("missed_noise"), n((p == "link_text") & (g != "link_text")).alias("link_false_positive"),
-        n((g == "link_text") & (p != "link_text")).alias("link_missed"),
+        n((p == "heading") & (g != "heading")).alias("heading_false_positive_count"), n((g == "separator") & (p == "list_item")).alias("separator_as_list_count"),
+        n(p.isin(*tables) & ~g.isin(*tables)).alias("false_table_promotion_count"), n((p == "footer_header_noise") & ~g.isin("footer_header_noise", "separator")).alias("false_noise_drop_count"),
+        n((g == "footer_header_noise") & (p != "footer_header_noise")).alias("footer_header_false_negative_count"), n((p == "link_text") & (g != "link_text")).alias("link_text_false_positive_count"),
+        n((g == "link_text") & (p != "link_text")).alias("link_text_false_negative_count"),
     )
 
 
@@ -89,17 +90,17 @@ def accuracy_by(predictions: DataFrame, sample: str, gold: str = "gold", pred: s
     return out.withColumn("accuracy", F.bround(F.col("n_right") / F.col("n"), 4))
 
 
-def against_baseline(accuracies: DataFrame, baseline: str, sample: str, strategy: str = "strategy") -> DataFrame:
-    """strategy, n_improved, n_regressed, mean_delta: by sample against one strategy, on rounded accuracies; samples that it lacks count as 0 there."""
-    base = accuracies.where(F.col(strategy) == baseline).select(sample, F.col("accuracy").alias("_base"))
-    delta = F.bround(F.col("accuracy") - F.coalesce(F.col("_base"), F.lit(0.0)), 4)
-    rows = accuracies.where(F.col(strategy) != baseline).join(base, sample, "left").withColumn("_d", delta)
+def against_baseline(accuracies: DataFrame, baseline: str, sample: str, strategy: str = "strategy", keep_baseline: bool = False) -> DataFrame:
+    """strategy, n_improved, n_regressed, mean_delta: by sample against one strategy, on rounded accuracies; samples that it lacks count as 0 there. ``keep_baseline`` gives its own row (zeros), too."""
+    base = F.max(F.when(F.col(strategy) == baseline, F.col("accuracy"))).over(W.partitionBy(sample))  # a sample has one row a strategy
+    rows = accuracies.withColumn("_d", F.bround(F.col("accuracy") - F.coalesce(base, F.lit(0.0)), 4))
+    rows = rows if keep_baseline else rows.where(F.col(strategy) != baseline)
     return rows.groupBy(strategy).agg(F.count_if(F.col("_d") > 0).alias("n_improved"), F.count_if(F.col("_d") < 0).alias("n_regressed"), F.bround(F.avg("_d"), 4).alias("mean_delta"))
 
 
 def conflicts(predictions: DataFrame, first: str, second: str) -> DataFrame:
-    """The two labels and n, most frequent first."""
-    return predictions.groupBy(first, second).agg(F.count("*").alias("n")).orderBy(F.desc("n"), first, second)
+    """The two labels and n."""
+    return predictions.groupBy(first, second).agg(F.count("*").alias("n"))
 
 
 def top_confusions(counts: DataFrame, most: int = 10, by: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import text as T
 from pagelode.operators import check_results, documents, layout, manifests, metrics, models, relations
-from pagelode.plans import block_rules, gate_oracle
+from pagelode.plans import ablation, block_rules, gate_oracle
 from pagelode.schemas import ROW_KEY
 from pagelode.streaming import streams
 
@@ -222,16 +222,101 @@ def strategy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.per_label(metrics.confusion(_long(spark, sf_dir), by=["strategy"]), ["strategy"])
 
 
+_TARGETED = """count(*) FILTER (pred = 'heading' AND gold <> 'heading') AS heading_false_positive_count, count(*) FILTER (gold = 'separator' AND pred = 'list_item') AS separator_as_list_count,
+  count(*) FILTER (pred IN ('table_like', 'form_row') AND gold NOT IN ('table_like', 'form_row')) AS false_table_promotion_count,
+  count(*) FILTER (pred = 'footer_header_noise' AND gold NOT IN ('footer_header_noise', 'separator')) AS false_noise_drop_count,
+  count(*) FILTER (gold = 'footer_header_noise' AND pred <> 'footer_header_noise') AS footer_header_false_negative_count, count(*) FILTER (pred = 'link_text' AND gold <> 'link_text') AS link_text_false_positive_count,
+  count(*) FILTER (gold = 'link_text' AND pred <> 'link_text') AS link_text_false_negative_count"""
+
+
 @query(f"""
-WITH l AS ({_LONG}) SELECT strategy, count(*) FILTER (pred = 'heading' AND gold <> 'heading') AS heading_false_positive, count(*) FILTER (gold = 'separator' AND pred = 'list_item') AS separator_as_list,
-  count(*) FILTER (pred = 'table_like' AND gold <> 'table_like') AS false_table, count(*) FILTER (pred = 'footer_header_noise' AND gold <> 'footer_header_noise') AS false_noise,
-  count(*) FILTER (gold = 'footer_header_noise' AND pred <> 'footer_header_noise') AS missed_noise, count(*) FILTER (pred = 'link_text' AND gold <> 'link_text') AS link_false_positive,
-  count(*) FILTER (gold = 'link_text' AND pred <> 'link_text') AS link_missed FROM l GROUP BY strategy
+WITH l AS ({_LONG}) SELECT strategy, {_TARGETED} FROM l GROUP BY strategy
 """)
 def targeted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.targeted(metrics.confusion(_long(spark, sf_dir), by=["strategy"]), ["strategy"])
 
 
+# From manifest, features and labels to reports
+
+#: What the made-up blocks are labelled: current, older and unknown names, in turn by row.
+_RAW = ("BodyText", "Heading", "table_like", "form_row", "list_item", "Caption", "Noise", "separator", "link_text", "Unknown", "CrossPageMerge", "")
+_MODELLED = [*[c for c in gate_oracle.NUMBERS if not c.startswith("model_")], "digit_ratio", *gate_oracle.BOOLEANS, *gate_oracle.FLAG_CELLS, *gate_oracle.DISTANCES, *gate_oracle.DISTANCE_CELLS]
+
+
+def _lab(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A manifest of forty samples, their features and labels, made of documents' lines."""
+    blocks = _blocks(spark, sf_dir).drop(*[c for c in gate_oracle.NUMBERS if c.startswith("model_")])
+    none = F.lit(None).cast("string")
+    key = dict(zip(ROW_KEY, (F.lit("block"), F.col("doc_id"), F.col("line_no"), F.lit("0"), none, none, none)))
+    rows = blocks.withColumn("sample_id", F.concat(F.lit("s"), F.col("doc_id") % 40)).withColumns(key)
+    n = F.col("doc_id") * 3 + F.col("line_no")
+    named = F.get(F.array(*map(F.lit, _RAW)), (F.col("line_no") * 7 + F.col("doc_id")) % len(_RAW))
+    raw = F.when(F.col("looks_like_separator"), "separator").when(F.col("is_heading_kind"), "Heading").otherwise(named)
+    labels = rows.where(n % 4 != 0).select("sample_id", *ROW_KEY, raw.alias("raw_label"), F.lit(0).alias("seq"))
+    manifest = spark.range(40).select(
+        F.concat(F.lit("s"), "id").alias("sample_id"), F.when(F.col("id") % 3 == 0, "train").when(F.col("id") % 3 == 1, "heldout").otherwise("other").alias("split"), F.when(F.col("id") % 8 == 7, "boundary").otherwise("block").alias("record_kind"),
+        F.when(F.col("id") % 10 == 9, "none").otherwise("manual").alias("label_source"), F.lit("labels.tsv").alias("label_path"),
+    )
+    return manifest, rows.drop("doc_id", "line_no"), labels
+
+
+def _lab_sql() -> str:
+    """CTEs up to ``p``: predictions of labelled block rows with their split, gold label and sample."""
+    legacy = "CASE raw WHEN 'BodyText' THEN 'paragraph' WHEN 'Heading' THEN 'heading' WHEN 'Noise' THEN 'footer_header_noise' WHEN 'Caption' THEN 'caption' WHEN 'Unknown' THEN 'keep_as_text' WHEN 'CrossPageMerge' THEN NULL WHEN '' THEN NULL ELSE raw END"
+    named = "CASE (line_no * 7 + doc_id) % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_RAW)) + " END"
+    number = lambda c: f"coalesce(nullif({c}, '')::DOUBLE, 0)" if c in (*gate_oracle.FLAG_CELLS, *gate_oracle.NUMBER_CELLS, *gate_oracle.DISTANCE_CELLS) else f"coalesce({c}::INT::DOUBLE, 0)" if c in gate_oracle.BOOLEANS else f"coalesce({c}, 0)::DOUBLE"
+    inputs = _MODELLED
+    labels = "paragraph heading table_like form_row list_item caption footer_header_noise separator link_text keep_as_text".split()
+    return f"""
+    b AS (SELECT * EXCLUDE ({', '.join(c for c in gate_oracle.NUMBERS if c.startswith('model_'))}), doc_id % 40 AS sample, CASE doc_id % 40 % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'heldout' ELSE 'other' END AS split,
+      CASE WHEN looks_like_separator THEN 'separator' WHEN is_heading_kind THEN 'Heading' ELSE {named} END AS raw FROM {_BLOCKS}),
+    r AS MATERIALIZED (SELECT *, {legacy} AS gold, [{', '.join(map(number, inputs))}] AS x FROM b WHERE (doc_id * 3 + line_no) % 4 <> 0 AND sample % 10 <> 9 AND sample % 8 <> 7 AND {legacy} IS NOT NULL),
+    v AS (SELECT doc_id, line_no, gold, unnest(range(1, {len(inputs)} + 1)) AS i, unnest(x) AS x FROM r WHERE split = 'train'),
+    s AS (SELECT i, avg(x) AS mean, CASE WHEN var_pop(x) > 1e-12 THEN sqrt(var_pop(x)) ELSE 1 END AS scale FROM v GROUP BY i),
+    z AS (SELECT gold, i, (x - mean) / scale AS z FROM v JOIN s USING (i)), o AS (SELECT gold, i, sum(z) AS sum, count(*) AS n FROM z GROUP BY ALL),
+    c AS (SELECT gold, i, sum / n AS pos, coalesce((sum(sum) OVER (PARTITION BY i) - sum) / nullif(sum(n) OVER (PARTITION BY i) - n, 0), 0) AS neg FROM o),
+    w AS (SELECT gold AS label, list(pos - neg ORDER BY i) AS w, -sum((pos - neg) * (pos + neg) / 2) AS bias FROM c GROUP BY gold),
+    t AS (SELECT list(mean ORDER BY i) AS mean, list(scale ORDER BY i) AS scale FROM s),
+    m AS (SELECT doc_id, line_no, label, bias + list_sum(list_transform(list_zip(x, mean, scale, w), lambda k: (k[1] - k[2]) / k[3] * k[4])) AS raw FROM r, t, w),
+    k AS MATERIALIZED (SELECT doc_id, line_no, {', '.join(f"coalesce(max(1 / (1 + exp(-raw))) FILTER (label = '{x}'), 0) AS model_{x}" for x in labels)} FROM m GROUP BY ALL),
+    p AS MATERIALIZED (SELECT g.*, r.split, r.gold, r.sample FROM ({gate_oracle.gate_sql('(SELECT b.*, ' + ', '.join(f'model_{x}' for x in labels) + ' FROM b JOIN k USING (doc_id, line_no))')}) g JOIN r USING (doc_id, line_no))"""
+
+
+_REPORT = {"rules_only": "rule", "model_only": "model", "rules_model_naive": "naive", "rules_model_weighted": "weighted", "rules_model_gated": "gated"}
+_HELD = f"h AS MATERIALIZED (SELECT sample, gold, strategy, CASE strategy {' '.join(f"WHEN '{s}' THEN {c}_label" for s, c in _REPORT.items())} END AS pred FROM p, (SELECT unnest({list(_REPORT)}) AS strategy) WHERE split = 'heldout')"
+
+
+@query(f"""
+WITH {_lab_sql()}, {_HELD},
+a AS (SELECT strategy, sample, round_even(count(*) FILTER (gold = pred)::DOUBLE / count(*), 4) AS accuracy FROM h GROUP BY ALL),
+d AS (SELECT a.strategy, count(*) FILTER (a.accuracy > q.accuracy) AS improved_sample_count, count(*) FILTER (a.accuracy < q.accuracy) AS regressed_sample_count FROM a JOIN a q ON a.sample = q.sample AND q.strategy = 'rules_only' GROUP BY a.strategy),
+e AS (SELECT strategy, count(*) AS support, count(*) FILTER (gold = pred)::DOUBLE / count(*) AS f, {_TARGETED} FROM h GROUP BY strategy)
+SELECT e.* EXCLUDE (f), round_even(f, 4) AS precision, round_even(f, 4) AS recall, round_even(f, 4) AS f1, improved_sample_count, regressed_sample_count FROM e JOIN d USING (strategy)
+""")
+def ablation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation.ablation(*_lab(spark, sf_dir)).summary
+
+
+@query(f"""
+WITH {_lab_sql()} SELECT 's' || sample AS sample_id, doc_id::VARCHAR AS page_index, line_no::VARCHAR AS block_index, split, gold AS gold_label, {', '.join(f'{c}_label' for c in _REPORT.values())}, blocked_reason,
+  round(model_confidence, 6) AS model_confidence, round(model_margin, 6) AS model_margin, round(weighted_margin, 6) AS weighted_margin FROM p
+""")
+def ablation_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = [f"{c}_label" for c in _REPORT.values()]
+    rows = ablation.ablation(*_lab(spark, sf_dir)).predictions
+    return rows.select("sample_id", "page_index", "block_index", "split", "gold_label", *shown, "blocked_reason", *[F.round(c, 6).alias(c) for c in ("model_confidence", "model_margin", "weighted_margin")])
+
+
+@query("""
+WITH n AS (SELECT doc_id % 40 AS s, count(*) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents) GROUP BY ALL), m AS (SELECT unnest(range(0, 40)) AS s)
+SELECT 's' || s AS sample_id, CASE s % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'heldout' ELSE 'other' END AS split, CASE WHEN s % 8 = 7 THEN 'boundary' ELSE 'block' END AS record_kind, coalesce(n, 0) AS candidate_count
+FROM m LEFT JOIN n USING (s) WHERE s % 10 = 9
+""")
+def ablation_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, features, labels = _lab(spark, sf_dir)
+    return ablation.labelled_rows(manifest, features, labels)[1]
+
+
 # Evaluation over documents and labels
 
 _PRED = "SELECT d.doc_id, d.source, d.lang, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS gold, CASE WHEN length(text) - length(replace(text, '.', '')) < 2 OR n_chars < 80 THEN 'bad' WHEN n_chars > 20000 THEN 'long' ELSE 'good' END AS pred FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
@@ -334,12 +419,13 @@ def centroid_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _vectors(spark, sf_dir)
     scales = models.normalisation(long)
-    return models.scores(long, scales, models.centroid_weights(long, scales), "vec_id")
+    model = models.linear_model(scales, models.centroid_weights(long, scales))
+    return models.scores(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), model, "embedding").drop("embedding")
 
 
 @query(_CENT + " SELECT vec_id, label::BIGINT AS label, (arg_max(candidate, (round_even(score, 9), -candidate)))::BIGINT AS pred, round(max(score), 6) AS score FROM c GROUP BY vec_id, label")
 def centroid_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.best(_scored(spark, sf_dir), "vec_id")
+    rows = models.best(_scored(spark, sf_dir))
     return rows.select("vec_id", F.col("label").cast("long").alias("label"), F.col("pred").cast("long").alias("pred"), F.round("score", 6).alias("score"))
 
 
