@@ -52,6 +52,12 @@ def assertions(docs: DataFrame, rules: DataFrame, on: str, text: str = "text") -
     return out.select(on, "literal", "kind", "n", F.when(F.col("kind") == "must_include", F.col("n") > 0).otherwise(F.col("n") == 0).alias("passed"))
 
 
+def asserted(docs: DataFrame, rules: DataFrame, on: str, text: str = "text") -> DataFrame:
+    """on, literal, kind, n, passed: as ``assertions``, but each rule once, over all documents of the same name together."""
+    out = assertions(docs, rules, on, text).groupBy(on, "literal", "kind").agg(F.sum("n").alias("n"))
+    return out.withColumn("passed", F.when(F.col("kind") == "must_include", F.col("n") > 0).otherwise(F.col("n") == 0))
+
+
 def all_included(text: Column, literals: Column) -> Column:
     return F.forall(literals, lambda x: F.contains(text, x))
 
@@ -109,13 +115,13 @@ def ocr_lines(words: DataFrame, image: str = "image") -> DataFrame:
 
 
 def split_columns(words: DataFrame, image: str = "image", gap: int = 60) -> DataFrame:
-    """image, column_no, line key, text: lines cut where words lie ``gap`` apart, in column-major order."""
+    """image, column_no, line key, text: lines cut where words lie ``gap`` apart. Their order is by image, column_no and line key."""
     w = words.where((F.col("level") == 5) & (F.trim("text") != ""))
     line = W.partitionBy(image, *OCR_LINE).orderBy("left", "word_num")
     wide = F.coalesce(F.col("left") - F.lag(F.col("left") + F.col("width")).over(line) >= gap, F.lit(False))
     cut = w.withColumn("_wide", wide).withColumn("column_no", F.sum(F.col("_wide").cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
     order = F.array_sort(F.collect_list(F.struct("left", "word_num", "text")))
-    return cut.groupBy(image, "column_no", *OCR_LINE).agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("text")).orderBy(image, "column_no", *OCR_LINE)
+    return cut.groupBy(image, "column_no", *OCR_LINE).agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("text"))
 
 
 def block_kind(text: Column, n_lines: Column) -> Column:

@@ -16,28 +16,43 @@ def box(prefix: str = "") -> dict[str, Column]:
 
 
 def mapped(annotations: DataFrame, mapping: DataFrame, on: str = "source_label", include_ignored: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(annotations with their mapping, annotations whose label has none). Ignored targets, and uncertain ones not for training, are dropped."""
+    """(annotations with their mapping, annotations whose label has none). Ignored targets, and uncertain ones not for training, are dropped, whatever their case and white space; null counts as ''."""
     known = annotations.join(mapping, on, "left_anti")
     out = annotations.join(mapping, on)
     if not include_ignored:
-        skip = F.col("target_label").isin("ignore", "ignored") | ((F.col("use_for_training") == "no") & F.col("target_label").isin("uncertain", "unknown"))
+        word = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+        skip = word("target_label").isin("ignore", "ignored") | ((word("use_for_training") == "no") & word("target_label").isin("uncertain", "unknown"))
         out = out.where(~skip)
     return out, known
 
 
-def text_of_regions(regions: DataFrame, cells: DataFrame, page: str = "page_id", region: str = "region_id", least: float = 0.2) -> DataFrame:
+#: What became of a region's text.
+MISSING, INVALID, UNPARSED, NO_OVERLAP, OVERLAP = "missing_text_cells", "invalid_text_cells_json", "text_cells_unparsed", "text_cells_no_overlap_todo_bbox_alignment", "text_cells_overlap_v1"
+
+
+def text_of_regions(regions: DataFrame, cells: DataFrame, page: str = "page_id", region: str = "region_id", least: float = 0.2, payloads: DataFrame | None = None, payload: str = "payload") -> DataFrame:
     """page, region, text, text_status: text of the cells that lie in a region by ``least`` of their area, in (y, x, text) order.
 
     The page is an equi-key, so the overlap is a residual condition of a hash or
-    merge join. A page without cells and one whose cells miss the region differ in status.
+    merge join. payloads (page, payload) are the files that the cells were read
+    from: a page without one, one that is no JSON, one without cells and one whose
+    cells miss the region differ in status. Without payloads a page that has no
+    cells counts as one without a file.
     """
     c = cells.select(page, F.col("text").alias("_text"), *[F.col(k).alias(f"c_{k}") for k in "xywh"])
     hit = regions.select(page, region, *"xywh").join(c, page).where(overlap_ratio(box(), box("c_")) >= least)
     words = F.array_sort(F.collect_list(F.struct(F.col("c_y").alias("y"), F.col("c_x").alias("x"), F.col("_text").alias("text"))))
     text = hit.groupBy(page, region).agg(F.array_join(F.transform(words, lambda t: t["text"]), " ").alias("text"))
-    seen = cells.select(page).distinct().withColumn("_seen", F.lit(True))
+    seen = cells.groupBy(page).agg(F.lit(True).alias("_seen"))
+    if payloads is not None:
+        sound = payloads.groupBy(page).agg(F.max(F.try_parse_json(payload).isNotNull()).alias("_sound"))
+        seen = sound.join(seen, page, "left")
+    else:
+        seen = seen.withColumn("_sound", F.lit(True))
     out = regions.select(page, region).join(text, [page, region], "left").join(seen, page, "left")
-    status = F.when(F.col("text").isNotNull(), "text_cells_overlap").when(F.col("_seen").isNull(), "missing_text_cells").otherwise("text_cells_no_overlap")
+    status = (
+        F.when(F.col("text").isNotNull(), OVERLAP).when(F.col("_sound").isNull(), MISSING).when(~F.col("_sound"), INVALID).when(F.col("_seen").isNull(), UNPARSED).otherwise(NO_OVERLAP)
+    )
     return out.select(page, region, F.coalesce("text", F.lit("")).alias("text"), status.alias("text_status"))
 
 
