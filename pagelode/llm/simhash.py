@@ -414,7 +414,7 @@ def _pairs(met: DataFrame) -> DataFrame:
     return dealt.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "set").mapInArrow(run, "a long, na long, b long, nb long").distinct()
 
 
-def _whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """set, grams: the shingle hashes of the wanted sets, from one text of each."""
 
     def run(batches: Iterator) -> Iterator:
@@ -426,16 +426,16 @@ def _whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, shingle:
                 found = [shingle_set(t, shingle) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([set_hash(g) for g in found], "<u8").view("<i8")), _lists(found)], ["set", "grams"])
 
-    picks = stored(prints.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("_hash")).select("_hash"), "near-picks")
+    picks = stored(classes.join(wanted, "set", "left_semi").select(F.col("text_hash").alias("_hash")), "near-picks")
     texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     texts = with_likely(texts, F.col("_text"), bitmap(picks, "near-bitmap")).where("_likely").drop("_likely").join(picks, F.col("_text") == F.col("_hash"), "left_semi")
     return stored(texts.dropDuplicates(["_text"]).select("text").mapInArrow(run, "set long, grams array<long>"), "near-sets")
 
 
-def _near(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """u, v: those pairs a, na, b, nb (sets and their sizes) whose likeness is LIKE or more. u > v."""
     part, of = LIKE
-    sets = _whole_sets(docs, prints, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), shingle)
+    sets = _whole_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), shingle)
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("_a")), "a").join(sets.select(F.col("set").alias("b"), F.col("grams").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.where(shared * (part + of) >= (F.col("na") + F.col("nb")) * part).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -445,20 +445,20 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, root (a set of the row's component): one row for each row of docs."""
     prints = stored(sketches(docs, shingle), "near-prints")
     one = F.first(F.struct("size", "fp", "bits", "keys"))
-    classes = stored(prints.groupBy("set").agg(F.count("*").alias("n"), one.alias("s")).select("set", "n", "s.*"), "near-classes")
+    classes = stored(prints.groupBy("set").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"), one.alias("s")).select("set", "n", "text_hash", "s.*"), "near-classes")
     keys = stored(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-keys")
     none, of = F.lit(None).cast("long"), classes.select("set", "size", "n", "fp", "bits")
     banded = with_likely(classes.select("set", F.explode("keys").alias("key")), F.col("key"), bitmap(keys.select("key"), "near-bitmap")).where("_likely").select("set", "key")
     met = stored(banded.join(keys, "key"), "near-met")
     tried = stored(_pairs(met.join(of, "set").withColumns({"root": none, "main": none, "keys": F.lit(None).cast("array<long>")})), "near-tried")
-    edges = stored(_near(docs, prints, tried, shingle), "near-links")
+    edges = stored(_near(docs, classes, tried, shingle), "near-links")
     comps = stored(components(edges), "near-comps")
     rooted = stored(met.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "near-rooted")
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("_m"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("_k"), F.max_by("root", F.struct("_m", "root")).alias("main")).where("_k > 1").select("key", "main")
     rest = _pairs(rooted.join(stored(mixed, "near-mixed"), "key").join(classes.select("set", "size", "n", "fp", "bits", "keys"), "set"))
     more = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-more")
-    found = stored(_near(docs, prints, more, shingle), "near-links")
+    found = stored(_near(docs, classes, more, shingle), "near-links")
     if not found.isEmpty():
         comps = stored(components(edges.union(found)), "near-comps")
     rows = prints.join(comps.withColumnRenamed("node", "set"), "set", "left")
