@@ -240,20 +240,16 @@ def apply_edits(docs: DataFrame, kept: DataFrame, edits: DataFrame, tokenizer: s
                     out.append((key, new_hash - (1 << 64) if new_hash >> 63 else new_hash, before, len(todo), tree.total, tree.reencoded, *tree.stored(), after)[: len(kinds) - (not with_text)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    keys = ["doc_id", *["text_hash"] * ("text_hash" in edits.columns)]
-    todo = edits.groupBy(*[F.col(k).cast("long").alias(f"_{k}") for k in keys]).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "new"))).alias("todo"))
+    each = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "new")
+    keys = [F.col("doc_id").cast("long").alias("_id"), *[F.col("text_hash").alias("_hash")] * ("text_hash" in edits.columns)]
+    todo = edits.groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("todo"))
+    one = kept.groupBy("doc_id", "text_hash").agg(F.first(F.struct("chars", "tokens")).alias("tree"))
+    same = one["doc_id"].eqNullSafe(todo["_id"])
+    plan = one.join(todo, same & (one["text_hash"] == todo["_hash"]) if "_hash" in todo.columns else same)  # edits meet trees first: both are small beside the texts
+    plan = plan.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "tree", "todo")
     rows = _keyed(docs)
-    edited = rows.join(todo, F.lit(True) if not keys else _all(rows[k].eqNullSafe(todo[f"_{k}"]) for k in keys)).select("doc_id", "text_hash", "text", "todo")
-    one = kept.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(F.struct("chars", "tokens")).alias("tree"))
-    found = edited.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", "todo", "tree.*")
-    return small_batches(found).mapInArrow(run, schema)
-
-
-def _all(conditions):
-    from functools import reduce
-    from operator import and_
-
-    return reduce(and_, conditions)
+    found = rows.join(plan, rows["doc_id"].eqNullSafe(plan["_doc_id"]) & (rows["text_hash"] == plan["_text_hash"]))
+    return small_batches(found.select("doc_id", "text_hash", "text", "todo", "tree.*")).mapInArrow(run, schema)
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:
