@@ -37,32 +37,41 @@ def bucket(value: Column, limits: Sequence[float]) -> Column:
     return out
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
+TOKEN = "[A-Za-z0-9]+"
+_START, _END = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+
+
+def _length_of(text: Column, runs: str) -> Column:
+    """How many characters of text lie in runs of a class."""
+    return F.length(text) - F.length(F.regexp_replace(text, runs, ""))
 
 
 def char_counts(text: Column) -> dict[str, Column]:
-    """Counts of characters by Unicode class."""
-    count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """Counts of characters by Unicode class: runs are cut out, and the rarer classes are counted in what is left."""
+    rest, high = F.regexp_replace(text, r"\p{L}+", ""), F.regexp_replace(text, r"\p{Ll}+", "")
     return {
-        "alpha": count(r"\p{L}"), "digit": count(r"\p{Nd}"), "upper": count(r"\p{Lu}"), "lower": count(r"\p{Ll}"),
-        "space": count(r"[\s\p{Z}]"), "punct": count(r"[^\p{L}\p{N}\s\p{Z}]"),
+        "alpha": F.length(text) - F.length(rest), "digit": _length_of(rest, r"\p{Nd}+"), "upper": _length_of(high, r"\p{Lu}+"), "lower": F.length(text) - F.length(high),
+        "space": _length_of(rest, r"[\s\p{Z}]+"), "punct": _length_of(rest, r"[^\p{L}\p{N}\s\p{Z}]+"),
     }
 
 
-def title_token_ratio(ts: Column) -> Column:
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def title_token_ratio(text: Column) -> Column:
     """Share of tokens with a capital first and lower-case letters after it."""
-    return safe_ratio(F.size(F.filter(ts, lambda t: t.rlike("^[A-Z][^A-Z]*[a-z][^A-Z]*$"))), F.size(ts))
+    return safe_ratio(count_of(text, f"{_START}[A-Z][0-9]*[a-z][a-z0-9]*{_END}"), count_of(text, TOKEN))
 
 
-def all_caps_ratio(ts: Column) -> Column:
-    return safe_ratio(F.size(F.filter(ts, lambda t: t.rlike("[A-Z]") & ~t.rlike("[a-z]"))), F.size(ts))
+def all_caps_ratio(text: Column) -> Column:
+    """Share of tokens that have capitals and no lower-case letters."""
+    return safe_ratio(count_of(text, f"{_START}[0-9]*[A-Z][A-Z0-9]*{_END}"), count_of(text, TOKEN))
 
 
 def list_marker_type(text: Column) -> Column:
     """0 none, 1 bullet, 2 number, 3 letter."""
-    s = F.regexp_replace(text, r"^\s+", "")
-    return F.when(s.rlike(r"^[-*•]\s+"), 1).when(s.rlike(r"^\(?\d+[).]\s+"), 2).when(s.rlike(r"^[A-Za-z][).]\s+"), 3).otherwise(0)
+    return F.when(text.rlike(r"^\s*[-*•]\s+"), 1).when(text.rlike(r"^\s*\(?\d+[).]\s+"), 2).when(text.rlike(r"^\s*[A-Za-z][).]\s+"), 3).otherwise(0)
 
 
 #: Patterns of the text flags (fixed values).
@@ -85,20 +94,18 @@ FLAGS: dict[str, str] = {
 
 
 def text_features(text: Column) -> dict[str, Column]:
-    """The text features of a block: sizes, character shares, token shapes and flags."""
+    """The text features of a block: sizes, character shares, token shapes and flags. Plain expressions without arrays of tokens or lambdas."""
     text = F.coalesce(text, F.lit(""))
-    ts, chars, length = tokens(text), char_counts(text), F.length(text)
-    n = F.size(ts)
+    chars, length, n, marker = char_counts(text), F.length(text), count_of(text, TOKEN), list_marker_type(text)
     short = n <= 6
+    title, caps = F.bround(title_token_ratio(text), 6), F.bround(all_caps_ratio(text), 6)
     out = {
-        "text_len": length, "word_count": n, "text_missing": F.length(F.regexp_replace(text, r"\s", "")) == 0,
-        "avg_word_len": F.bround(safe_ratio(F.length(F.array_join(ts, "")), n), 6),
+        "text_len": length, "word_count": n, "text_missing": ~text.rlike(r"\S"), "avg_word_len": F.bround(safe_ratio(_length_of(text, TOKEN), n), 6),
     } | {f"{k}_ratio": F.bround(safe_ratio(v, length), 6) for k, v in chars.items()} | {
-        "title_token_ratio": F.bround(title_token_ratio(ts), 6), "all_caps_ratio": F.bround(all_caps_ratio(ts), 6),
-        "has_long_token": F.exists(ts, lambda t: F.length(t) >= 18), "has_many_digits": chars["digit"] >= 6,
-        "short_text": n <= 4, "very_short_text": n <= 2, "long_text": n >= 30,
-        "title_case_short": short & (F.bround(title_token_ratio(ts), 6) >= 0.6), "all_caps_short": short & (F.bround(all_caps_ratio(ts), 6) >= 0.6),
-        "list_marker_type": list_marker_type(text), "short_line_with_marker": short & (list_marker_type(text) > 0),
+        "title_token_ratio": title, "all_caps_ratio": caps, "has_long_token": text.rlike("[A-Za-z0-9]{18}"), "has_many_digits": chars["digit"] >= 6,
+        "short_text": n <= 4, "very_short_text": n <= 2, "long_text": n >= 30, "token_count": n,
+        "title_case_short": short & (title >= 0.6), "all_caps_short": short & (caps >= 0.6), "list_marker_type": marker, "short_line_with_marker": short & (marker > 0),
+        "no_terminal_period": text.rlike(r"\S") & ~text.rlike(FLAGS["has_terminal_period"]), "contains_table_delimiters": text.rlike(r"\||\t|  "),
     }
     return out | {k: text.rlike(p) for k, p in FLAGS.items()}
 
@@ -180,17 +187,81 @@ def tags_of(packed: Column, separator: str = ";") -> Column:
 
 
 def data_uri(uri: Column) -> Column:
-    """mime, is_base64 and text of a data URI; null for others."""
-    mime = F.nullif(F.regexp_extract(uri, r"^data:([^;,]*)", 1), F.lit(""))
-    is64, body = uri.rlike(r"^data:[^,]*;base64,"), F.regexp_extract(uri, r"^data:[^,]*,(?s)(.*)$", 1)
-    text = F.when(is64, F.decode(F.unbase64(body), "UTF-8")).otherwise(F.try_url_decode(body))
-    return F.when(uri.startswith("data:"), F.struct(mime.alias("mime"), is64.alias("is_base64"), text.alias("text")))
-
-
-def content_kind(head: Column) -> Column:
-    """A format guessed from a file's first bytes."""
-    return (
-        F.when(F.substring(head, 1, 5) == F.lit(b"%PDF-"), "pdf").when(F.substring(head, 1, 4) == F.lit(b"PK\x03\x04"), "zip")
-        .when(F.substring(head, 1, 8) == F.lit(b"\x89PNG\r\n\x1a\n"), "png").when(F.substring(head, 1, 3) == F.lit(b"\xff\xd8\xff"), "jpeg")
-        .when(F.substring(head, 1, 5) == F.lit(b"<?xml"), "xml").otherwise("unknown")
+    """mime, attributes, is_base64, charset, text and bytes of a data URI; null for others. A text in another charset than UTF-8 is left to its bytes."""
+    head, body = F.regexp_extract(uri, r"^data:([^,]*),", 1), F.regexp_extract(uri, r"^data:[^,]*,(?s)(.*)$", 1)
+    parts = F.split(head, ";")
+    is64 = F.get(parts, F.size(parts) - 1) == "base64"
+    mime = F.when(F.get(parts, F.lit(0)).rlike("^[^=/]+/[^=/]+$"), F.get(parts, F.lit(0)))
+    pairs = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("="))), lambda p: F.struct(F.regexp_extract(p, "^([^=]*)=", 1).alias("key"), F.regexp_extract(p, "=(.*)$", 1).alias("value")))
+    attributes = F.map_from_entries(pairs)
+    raw = F.when(is64, F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(F.try_url_decode(body), "UTF-8"))
+    charset = F.lower(attributes["charset"])
+    text = F.when(F.coalesce(charset, F.lit("utf-8")).isin("utf-8", "us-ascii", "ascii"), F.try_validate_utf8(raw.cast("string")))
+    found = F.struct(mime.alias("mime"), attributes.alias("attributes"), is64.alias("is_base64"), charset.alias("charset"), text.alias("text"), raw.alias("bytes"))
+    return F.when(uri.startswith("data:") & F.contains(uri, F.lit(",")), found)
+
+
+def file_uri(uri: Column) -> Column:
+    """host (null if there is none) and path of a file URI without query and fragment; null for others."""
+    bare = F.regexp_replace(uri, "[?#].*$", "")
+    host, path = F.nullif(F.regexp_extract(bare, "^file://([^/]*)/", 1), F.lit("")), F.regexp_extract(bare, "^file:(?://[^/]*)?(/.*)$", 1)
+    return F.when(uri.startswith("file:"), F.struct(host.alias("host"), F.try_url_decode(path).alias("path")))
+
+
+#: What files begin with, the extensions that share such a beginning, and their media types.
+_MAGIC = (
+    (b"%PDF-", (("pdf", "application/pdf"),)), (b"\x89PNG\r\n\x1a\n", (("png", "image/png"),)), (b"\xff\xd8\xff", (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"))), (b"GIF8", (("gif", "image/gif"),)),
+    (b"PK\x03\x04", (
+        ("zip", "application/zip"), ("epub", "application/epub+zip"), ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+        ("xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"), ("pptx", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    )),
+    (b"\xd0\xcf\x11\xe0", (("xls", "application/vnd.ms-excel"), ("msg", "application/vnd.ms-outlook"))), (b"RIFF", (("wav", "audio/x-wav"),)), (b"ID3", (("mp3", "audio/mpeg"),)),
+)
+_TEXTS = (("html", "text/html"), ("htm", "text/html"), ("xml", "text/xml"), ("csv", "text/csv"), ("json", "application/json"), ("ipynb", "application/json"), ("md", "text/markdown"), ("txt", "text/plain"))
+
+
+def stream_info(name: Column, content: Column) -> Column:
+    """mimetype, extension (with its dot), charset of a file by its name and bytes: a known beginning decides, then whether it is text; null where nothing is known."""
+    extension = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+    mime, ext, known = F.lit(None).cast("string"), F.nullif(extension, F.lit("")), F.lit(False)
+    for start, kinds in reversed(_MAGIC):
+        here = F.substring(content, 1, len(start)) == F.lit(start)
+        own, first = F.lit(kinds[0][1]), F.lit(kinds[0][0])
+        for x, m in kinds:
+            own, first = F.when(extension == x, m).otherwise(own), F.when(extension == x, x).otherwise(first)
+        mime, ext, known = F.when(here, own).otherwise(mime), F.when(here, first).otherwise(ext), here | known
+    two, three = F.substring(content, 1, 2), F.substring(content, 1, 3)
+    text = F.decode(content, "ISO-8859-1")
+    charset = (
+        F.when(known | text.rlike("\\x00") & ~two.isin(F.lit(b"\xff\xfe"), F.lit(b"\xfe\xff")), F.lit(None).cast("string")).when(two == F.lit(b"\xff\xfe"), "utf-16-le").when(two == F.lit(b"\xfe\xff"), "utf-16-be")
+        .when(three == F.lit(b"\xef\xbb\xbf"), "utf-8").when(~text.rlike("[\\x80-\\xff]"), "ascii").when(F.is_valid_utf8(content.cast("string")), "utf-8")
     )
+    written = F.lit(None).cast("string")
+    for x, m in _TEXTS:
+        written = F.when(extension == x, m).otherwise(written)
+    start = F.lower(F.ltrim(F.substring(text, 1, 256)))
+    guessed = F.when(start.startswith("<!doctype html") | start.startswith("<html"), "text/html").when(start.startswith("<?xml"), "text/xml").otherwise("text/plain")
+    return F.struct(F.coalesce(mime, F.when(charset.isNotNull(), F.coalesce(written, guessed))).alias("mimetype"), F.concat(F.lit("."), ext).alias("extension"), charset.alias("charset"))
+
+
+def date_text(at: Column, code: str) -> Column:
+    """A time written by a spreadsheet's number format: d, m, y, h and s runs; m beside hours or seconds is minutes."""
+    import re
+
+    parts, out = re.findall(r"d+|m+|y+|h+|s+|\.0+|[^dmyhs.]+|\.", code), []
+    letters = [p for p in parts if p[0] in "dmyhs"]
+    seen = -1
+    for p in parts:
+        seen += p[0] in "dmyhs"
+        if p[0] == "m":
+            clock = (seen > 0 and letters[seen - 1][0] == "h") or (seen + 1 < len(letters) and letters[seen + 1][0] == "s")
+            out.append(p if clock else p.upper())
+        elif p[0] == "y":
+            out.append("yy" if len(p) <= 2 else "yyyy")
+        elif p[0] == "h":
+            out.append("H" * len(p))
+        elif p.startswith(".0"):
+            out.append("." + "S" * (len(p) - 1))
+        else:
+            out.append(p if p[0] in "ds" else "'" + p.replace("'", "''") + "'")
+    return F.date_format(at, "".join(out))

@@ -45,6 +45,11 @@ def merge_numbering(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return marked.withColumn("_gone", F.coalesce(gone, F.lit(False))).where("not _gone").drop("_step", "_gone")
 
 
+def isolated_numbers(text: Column) -> Column:
+    """How many lines hold nothing but a partial number such as ``.1``."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?m)^[ \t]*\.\d+[ \t]*$"))
+
+
 def assertions(docs: DataFrame, rules: DataFrame, on: str, text: str = "text") -> DataFrame:
     """on, literal, kind, n, passed: rules (on, literal, kind must_include or must_not_include) against the documents of the same name."""
     n = occurrences(F.coalesce(F.col(text), F.lit("")), F.col("literal"))
@@ -150,12 +155,29 @@ def markdown_preview(blocks: DataFrame, image: str = "image") -> DataFrame:
 
 
 def html_text(html: Column) -> Column:
-    """Text of HTML without scripts, styles, comments and tags; white space collapsed."""
+    """Text of HTML without scripts, styles, comments and tags; named and numeric characters are written out, white space collapsed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     bare = F.regexp_replace(bare, r"<[^>]*>", " ")
-    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for code, char in _NAMED:
         bare = F.replace(bare, F.lit(code), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    numbered = F.array_distinct(F.regexp_extract_all(bare, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+    bare = F.aggregate(numbered, bare, lambda text, e: F.replace(text, e, _character(e)))
+    return F.trim(F.regexp_replace(F.replace(bare, F.lit("&amp;"), F.lit("&")), r"\s+", " "))
+
+
+#: Named characters of HTML that texts use most; the ampersand comes last of all.
+_NAMED = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+    ("&bull;", "•"), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&euro;", "€"), ("&laquo;", "«"), ("&raquo;", "»"),
+)
+
+
+def _character(entity: Column) -> Column:
+    """What a numeric entity stands for; itself if that is no character."""
+    hexed = F.lower(F.substring(entity, 3, 1)) == "x"
+    code = F.when(hexed, F.conv(F.regexp_extract(entity, "[xX]([0-9A-Fa-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(entity, "([0-9]+)", 1)).cast("long")
+    sound = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
 
 
 def mangle_font(fonts: DataFrame, method: str = "idpf") -> DataFrame:
@@ -183,8 +205,8 @@ def signal_checks(docs: DataFrame, signals: str = "expected_signals", text: str
     return docs.withColumn("failed_signals", F.filter(tags_of(F.col(signals)), lambda s: ~ok(s)))
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """path, member, size, sha256 of zip files given as (path, content), one file at a time; broken archives give a row with a null member."""
+def archive_members(files: DataFrame, with_content: bool = False, members: tuple[str, ...] = ()) -> DataFrame:
+    """path, member, size, sha256 (and content) of zip files given as (path, content), one file at a time; broken archives give a row with a null member. Named members alone are read."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -199,9 +221,13 @@ def archive_members(files: DataFrame) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
                         for info in z.infolist():
-                            out.append((path, info.filename, info.file_size, hashlib.sha256(z.read(info)).hexdigest()))
+                            if not members or info.filename in members:
+                                data = z.read(info)
+                                out.append((path, info.filename, info.file_size, hashlib.sha256(data).hexdigest(), data)[: len(names)])
                 except zipfile.BadZipFile:
-                    out.append((path, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.string()))], ["path", "member", "size", "sha256"])
+                    out.append((path, *[None] * (len(names) - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * len(names), kinds(pa))], names)
 
-    return files.select("path", "content").mapInArrow(run, "path string, member string, size long, sha256 string")
+    names = ["path", "member", "size", "sha256", *["content"] * with_content]
+    kinds = lambda pa: (pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())[: len(names)]
+    return files.select("path", "content").mapInArrow(run, "path string, member string, size long, sha256 string" + ", content binary" * with_content)

@@ -32,13 +32,14 @@ def changes(checks: DataFrame) -> DataFrame:
     def step(key, frames, state):
         import pandas as pd
 
-        for pdf in frames:
-            out = []
-            for result in pdf.sort_values("ts")["result"]:
-                before = state.get[0] if state.exists else None
-                out.append((key[0], result, "first" if before is None else "unchanged" if before == result else "changed"))
-                state.update((result,))
-            yield pd.DataFrame(out, columns=["file", "result", "status"])
+        # A file's checks of one trigger may come in several frames: they are put in order together.
+        rows, out = pd.concat(list(frames)).sort_values("ts", kind="stable"), []
+        before = state.get[0] if state.exists else None
+        for result in rows["result"]:
+            out.append((key[0], result, "first" if before is None else "unchanged" if before == result else "changed"))
+            before = result
+        state.update((before,))
+        yield pd.DataFrame(out, columns=["file", "result", "status"])
 
     return checks.groupBy("file").applyInPandasWithState(step, "file string, result string, status string", "result string", "append", "NoTimeout")
 

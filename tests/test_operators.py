@@ -30,10 +30,10 @@ def test_small_functions(spark):
     r = one(
         spark, z=T.number_of(F.lit("")), s=T.sigmoid(F.lit(-800.0)), b=T.bucket(F.lit(0.16), [0.08, 0.16]), m=T.list_marker_type(F.lit(" (3) x")), n=T.occurrences(F.lit("aaaa"), F.lit("aa")),
         l=T.ocr_language(F.lit("zh-CN")), p=T.split_plan(F.lit(10)), t=T.tags_of(F.lit("a; b;;")), u=T.data_uri(F.lit("data:text/plain;base64,SGk=")), v=T.data_uri(F.lit("data:,a%20b")),
-        k=T.content_kind(F.lit(b"%PDF-1.7")), q=T.safe_ratio(F.lit(1), F.lit(0)), f=T.flag_of(F.lit("0.5")), w=metrics.normalised(F.lit("PageNumber"), LEGACY_LABELS, BLOCK_LABELS), x=metrics.normalised(F.lit("CrossPageMerge"), LEGACY_LABELS, BLOCK_LABELS),
+        k=T.stream_info(F.lit("x"), F.lit(b"%PDF-1.7"))["mimetype"], q=T.safe_ratio(F.lit(1), F.lit(0)), f=T.flag_of(F.lit("0.5")), w=metrics.normalised(F.lit("PageNumber"), LEGACY_LABELS, BLOCK_LABELS), x=metrics.normalised(F.lit("CrossPageMerge"), LEGACY_LABELS, BLOCK_LABELS),
     )
     assert (r.z, r.s, r.b, r.m, r.n, r.l, tuple(r.p), r.t) == (0.0, 0.0, 1, 2, 2, "chi_sim", (7, 2, 2), ["a", "b"])
-    assert (r.u.mime, r.u.is_base64, r.u.text, r.v.text, r.k, r.q, r.f, r.w, r.x) == ("text/plain", True, "Hi", "a b", "pdf", 0.0, True, "footer_header_noise", None)
+    assert (r.u.mime, r.u.is_base64, r.u.text, r.v.text, r.k, r.q, r.f, r.w, r.x) == ("text/plain", True, "Hi", "a b", "application/pdf", 0.0, True, "footer_header_noise", None)
 
 
 @pytest.mark.parametrize("text, flags", [("1. First", {"starts_bullet", "starts_numbered", "section_number_prefix"}), ("See Figure 2:", {"contains_figure_hint", "ends_colon"}), ("mail a.b@c.org", {"contains_email"}), ("a) b", {"starts_numbered", "starts_with_alpha_marker"})])
@@ -187,10 +187,16 @@ def test_check_diff(spark):
         "a": ("clean", "a.epubCheck.json"), "b": ("timeout", "b.EPUBCheck.json"), "c": ("severe", "cCheck.json"), "d": ("skipped", "d.txtCheck.json"), "9": ("not_found", "9780000000001.ePubCheck.json")}
 
 
+def test_html_characters(spark):
+    html = "<p>a&nbsp;&lt;b&gt; &amp;lt; &#233;&#xE9;&#x1F600; &#0;&#xD800; &hellip;&mdash;&apos;</p><!-- x --><style>p{}</style>"
+    assert one(spark, t=documents.html_text(F.lit(html))).t == "a <b> &lt; éé\U0001f600 &#0;&#xD800; …—'"
+
+
 def test_markdown_and_numbering(spark):
     text = "| a | b |\n| --- | --- |\n| 1 | 2 |\ntext\n| x |\n"
     got = documents.table_checks(documents.table_lines(documents.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))))
     assert [(r.n_rows, r.n_cols, r.reason) for r in got.orderBy("table_no").collect()] == [(2, 2, "ok"), (1, 1, "too_few_rows")]
+    assert one(spark, n=documents.isolated_numbers(F.lit(".1\n  .22 \nx .3\n.4 y\n.5"))).n == 3
     merged = documents.merge_numbering(documents.lines(spark.createDataFrame([(1, ".1\n\nThe intent\n.2\nNext\n.3")], "doc_id long, text string")))
     assert [r.line for r in merged.orderBy("line_no").collect()] == [".1 The intent", "", ".2 Next", ".3"]
 

@@ -5,7 +5,8 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from pagelode.schemas import feature_columns, require_columns, with_default_columns
-from pagelode.sources import readers, writers
+from pagelode.functions import text as T
+from pagelode.sources import epub, readers, writers
 
 
 def put(folder, name, text):
@@ -88,7 +89,45 @@ def test_epub(spark, tmp_path):
     assert (p.package, p.title, p.description, p.nav) == ("EPUB/package.opf", "Tests", "Some", "nav.xhtml")
     tests = readers.epub_tests(texts)
     assert [(r.id, r.kind, r.title) for r in tests.orderBy("pos").collect()] == [("a-1", "REQUIRED", "One thing"), ("a-2", "OPTIONAL", "Two")]
-    assert writers.xhtml_form(tests).first()["form"].startswith("<table><tr><td>a-1</td><td>REQUIRED")
+    assert writers.xhtml_form(tests).first()["form"].startswith('<table><tr id="a-1"><td>a-1</td><td class="type REQUIRED">REQUIRED')
+
+
+def test_epub_collection(spark, tmp_path):
+    put(tmp_path, "c/META-INF/container.xml", '<?xml version="1.0"?><container xmlns="urn:c"><rootfiles><rootfile full-path="EPUB/package.opf"/></rootfiles></container>')
+    put(tmp_path, "c/EPUB/package.opf", '<package xmlns="urn:o" xmlns:dc="urn:d"><metadata><dc:title>Tests</dc:title></metadata><manifest><item id="n" properties="nav" href="nav.xhtml"/></manifest></package>')
+    nav = '<html xmlns="urn:h"><body><ol><li class="category"><a href="t.xhtml#intro">Cat &amp; A</a><ol><li class="subcategory"><span>Sub</span><ol><li><a href="t.xhtml#a-1">One\n thing</a></li></ol></li><li><a href="t.xhtml#a-2">Two</a></li><li><a href="t.xhtml#gone">x</a></li><li><a href="t.xhtml">y</a></li></ol></li></ol></body></html>'
+    put(tmp_path, "c/EPUB/nav.xhtml", nav)
+    put(tmp_path, "c/EPUB/t.xhtml", '<html xmlns="urn:h"><body><section id="intro"/><section id="a-1" class="ctest"><p class="desc">Long <b>&lt;one&gt;</b></p></section><section id="a-2" class="otest"><p class="desc">Long two</p></section></body></html>')
+    put(tmp_path, "c/EPUB/broken.xhtml", "<html><p></html>")
+    texts = readers.whole_texts(spark, str(tmp_path / "c"))
+    tests = epub.collection(texts)
+    assert rows(tests.select("id", "kind", "category", "subcategory", "short", "long", "title")) == [
+        ("a-1", "REQUIRED", "Cat & A", "Sub", "One thing", "Long <one>", "Tests"), ("a-2", "OPTIONAL", "Cat & A", None, "Two", "Long two", "Tests")]
+    form = writers.xhtml_form(tests, "root").first()["form"]
+    assert form.count("Cat &amp; A") == 1 and form.count(">Sub<") == 1 and "Long &lt;one&gt;" in form and form.index("Cat") < form.index("Sub") < form.index("a-1")
+    assert [r.path.rsplit("/", 1)[1] for r in epub.elements(texts.where("path like '%.xhtml'")).where("error is not null").collect()] == ["broken.xhtml"]
+
+
+def test_uris_streams_and_dates(spark):
+    import datetime as dt
+
+    one = lambda c: spark.range(1).select(c.alias("c")).first()["c"]
+    d = one(T.data_uri(F.lit("data:text/plain;charset=utf-8;base64,SGVsbG8sIFdvcmxkIQ==")))
+    assert (d.mime, d.attributes, d.charset, d.text, bytes(d.bytes)) == ("text/plain", {"charset": "utf-8"}, "utf-8", "Hello, World!", b"Hello, World!")
+    d = one(T.data_uri(F.lit("data:base64,SGk=")))
+    assert (d.mime, d.attributes, d.text) == (None, {}, "Hi")
+    d = one(T.data_uri(F.lit("data:,Hello%2C%20World%21")))
+    assert (d.mime, d.is_base64, d.text) == (None, False, "Hello, World!") and one(T.data_uri(F.lit("http://x"))) is None
+    for uri, want in (("file:///path/to/f.txt", (None, "/path/to/f.txt")), ("file:/p/f.txt", (None, "/p/f.txt")), ("file://localhost/p/f%20x.txt?q=1", ("localhost", "/p/f x.txt")), ("file:///p/f#a", (None, "/p/f"))):
+        assert tuple(one(T.file_uri(F.lit(uri)))) == want
+    for name, data, want in (
+        ("a.docx", b"PK\x03\x04rest", ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".docx", None)), ("a.bin", b"%PDF-1.7", ("application/pdf", ".pdf", None)), ("b.jpg", b"\xff\xd8\xff\xe0", ("image/jpeg", ".jpg", None)),
+        ("c.csv", "é,1".encode(), ("text/csv", ".csv", "utf-8")), ("d.html", b"<html></html>", ("text/html", ".html", "ascii")), ("e", b"<?xml version='1.0'?>", ("text/xml", None, "ascii")), ("f.dat", b"\x00\x01", (None, ".dat", None)),
+    ):
+        assert tuple(one(T.stream_info(F.lit(name), F.lit(data)))) == want, name
+    at = F.lit(dt.datetime(2013, 1, 23, 12, 30, 5, 123000))
+    for code, want in (("dd/mm/yy", "23/01/13"), ("dd m yy", "23 1 13"), ("d mmm yy", "23 Jan 13"), ("d mmmm yyy", "23 January 2013"), ("dd/mm/yy hh:mm:ss.000", "23/01/13 12:30:05.123"), ("hh:mm", "12:30"), ("hh:mm:ss", "12:30:05")):
+        assert one(T.date_text(at, code)) == want
 
 
 def test_files_front_matter_and_markers(spark, tmp_path):
