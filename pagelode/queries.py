@@ -748,6 +748,123 @@ def ocr_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.split_columns(_words(spark, sf_dir)).select("image", *[F.col(c).cast("long").alias(c) for c in ("column_no", "block_num", "line_num")], "text")
 
 
+# Small operators over made-up rows
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 7 = 0 THEN NULL ELSE 'M' || event_id % 3 END AS ID, event_type FROM events),
+b AS (SELECT *, coalesce(trim(ID), '') = '' AS blank FROM e), n AS (SELECT *, CASE WHEN blank THEN 'BlankID_' || sum(blank::INT) OVER (PARTITION BY user_id ORDER BY event_id) ELSE ID END AS name FROM b)
+SELECT user_id, name AS ID, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM n GROUP BY user_id, name
+""")
+def blank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(e % 5 == 0, " ").when(e % 7 == 0, None).otherwise(F.concat(F.lit("M"), e % 3)).alias("ID"), "event_type")
+    return relations.first_wins(relations.with_blank_ids(rows, "user_id", "ID", "event_id"), ["user_id", "ID"], "event_id")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN k = 4 THEN NULL ELSE a END AS x, CASE WHEN k = 4 THEN NULL ELSE b END AS y, CASE WHEN k = 4 THEN NULL WHEN k = 3 THEN c - a ELSE c END AS w, CASE WHEN k = 4 THEN NULL WHEN k = 3 THEN d - b ELSE d END AS h
+FROM (SELECT p_partkey, p_partkey % 5 AS k, p_size::DOUBLE AS a, p_size / 2e0 AS b, p_size + 10e0 AS c, p_size * 3e0 AS d FROM part)
+""")
+def boxes_of_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("double")
+    a, b, c, d = n, n / 2, n + 10, n * 3
+    named = lambda *names: F.to_json(F.struct(*[v.alias(x) for x, v in zip(names, (a, b, c, d))]))
+    text = F.when(k == 0, F.to_json(F.array(a, b, c, d))).when(k == 1, named("x", "y", "w", "h")).when(k == 2, named("left", "top", "width", "height")).when(k == 3, named("x0", "y0", "x1", "y1")).otherwise('{"x":"wide","y":1,"w":2,"h":3}')
+    box = T.bbox_of(F.col("t"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("t")).select("p_partkey", *[box[x].alias(x) for x in "xywh"])
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN 'text/plain' END AS mime, c_custkey % 3 = 0 AS is_base64, CASE WHEN c_custkey % 3 = 0 THEN 'utf-8' END AS charset, c_name || ' ä#' || c_custkey AS text,
+  CASE WHEN c_custkey % 2 = 0 THEN 'host' || c_custkey END AS file_host, '/dir/' || c_name || '.txt' AS file_path FROM customer
+""")
+def uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, text = F.col("c_custkey"), F.concat("c_name", F.lit(" ä#"), "c_custkey")
+    data = F.when(k % 3 == 0, F.concat(F.lit("data:text/plain;charset=UTF-8;base64,"), F.base64(F.encode(text, "UTF-8")))).when(k % 3 == 1, F.concat(F.lit("data:text/plain,"), F.url_encode(text))).otherwise(F.concat(F.lit("data:,"), F.url_encode(text)))
+    file = F.concat(F.lit("file://"), F.when(k % 2 == 0, F.concat(F.lit("host"), k)).otherwise(""), F.lit("/dir/"), F.url_encode("c_name"), F.lit(".txt?x=1#y"))
+    found, at = T.data_uri(F.col("d")), T.file_uri(F.col("f"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", data.alias("d"), file.alias("f"))
+    return rows.select("c_custkey", found["mime"].alias("mime"), found["is_base64"].alias("is_base64"), found["charset"].alias("charset"), found["text"].alias("text"), at["host"].alias("file_host"), at["path"].alias("file_path"))
+
+
+_NUMBERED = f"SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 5 = 0 THEN ' .' || line_no WHEN (doc_id + line_no) % 7 = 0 THEN ' ' ELSE line END AS line FROM ({_LINES})"
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("doc_id") + F.col("line_no")
+    return documents.lines(table(spark, sf_dir, "documents")).withColumn("line", F.when(at % 5 == 0, F.concat(F.lit(" ."), "line_no")).when(at % 7 == 0, " ").otherwise(F.col("line")))
+
+
+@query(rf"""
+WITH l AS ({_NUMBERED}), s AS (SELECT *, regexp_matches(trim(line), '^\.\d+$') AS part, trim(lead(line) OVER w) AS one, trim(lead(line, 2) OVER w) AS two FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+t AS (SELECT *, CASE WHEN part AND length(one) > 0 THEN 1 WHEN part AND length(two) > 0 THEN 2 END AS step FROM s),
+g AS (SELECT *, coalesce(lag(step) OVER w = 1, FALSE) OR coalesce(lag(step, 2) OVER w = 2, FALSE) AS gone FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no::BIGINT AS line_no, CASE step WHEN 1 THEN trim(line) || ' ' || one WHEN 2 THEN trim(line) || ' ' || two ELSE line END AS line FROM g WHERE NOT gone
+""")
+def merged_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.merge_numbering(_numbered(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query(rf"WITH l AS ({_NUMBERED}) SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[ \t]*\.\d+[ \t]*$')) AS n FROM l GROUP BY doc_id")
+def isolated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.array_sort(F.collect_list(F.struct("line_no", "line")))  # the lines of one document
+    whole = _numbered(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(order, lambda x: x["line"]), "\n").alias("text"))
+    return whole.select("doc_id", documents.isolated_numbers(F.col("text")).cast("long").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS a, coalesce(text, '') || repeat(chr(10) || 'more', (doc_id % 4)::INT) || CASE WHEN doc_id % 5 = 0 THEN '|' ELSE '' END AS e FROM documents)
+SELECT doc_id, (doc_id % 4)::BIGINT AS line_delta, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS pipe_delta, doc_id % 4 <= 2 AND doc_id % 5 <> 0 AS passed FROM t
+""")
+def golden_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    more = F.concat("text", F.repeat(F.lit("\nmore"), (F.col("doc_id") % 4).cast("int")), F.when(F.col("doc_id") % 5 == 0, "|").otherwise(""))
+    out = documents.golden(docs, docs.select("doc_id", more.alias("text")), "doc_id")
+    return out.select("doc_id", F.col("line_delta").cast("long").alias("line_delta"), F.col("pipe_delta").cast("long").alias("pipe_delta"), "passed")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS doc, 'x' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY ALL), k AS (SELECT o_orderkey AS doc, 'x' || unnest(range(1, 5)) AS fragment FROM orders)
+SELECT k.doc, fragment, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM k LEFT JOIN e ON k.doc = e.doc AND fragment = id
+""")
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).select("doc", F.concat(F.lit("x"), "k").alias("fragment"))
+    elements = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("x"), "l_linenumber").alias("id"))
+    return relations.resolve_fragments(links, elements)
+
+
+@query("""
+WITH c AS (SELECT p_partkey AS key, unnest([0, 1, 2]) AS rank FROM part), f AS (SELECT key, rank, 'dir' || rank || '/' || key % 97 AS path FROM c), l AS (SELECT DISTINCT 'dir' || s_suppkey % 3 || '/' || s_suppkey AS path FROM supplier)
+SELECT key, arg_min(path, rank) AS path FROM f WHERE path IN (SELECT path FROM l) GROUP BY key
+""")
+def first_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = F.explode(F.array(*map(F.lit, range(3)))).alias("rank")
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), ranks).withColumn("path", F.concat(F.lit("dir"), "rank", F.lit("/"), F.col("key") % 97))
+    listing = table(spark, sf_dir, "supplier").select(F.concat(F.lit("dir"), F.col("s_suppkey") % 3, F.lit("/"), "s_suppkey").alias("path"))
+    return relations.first_existing(named, listing, "key")
+
+
+_OCR_TEXT = "CASE l_partkey % 8 WHEN 0 THEN 'Page ' || l_linenumber WHEN 1 THEN '- item ' || l_suppkey WHEN 2 THEN 'Name: value ' || l_suppkey WHEN 3 THEN 'Figure ' || l_linenumber || ' shown' WHEN 4 THEN '12 / 20' WHEN 5 THEN 'A Title' WHEN 6 THEN 'it ends here.' ELSE 'left | right' END"
+
+
+@query(rf"""
+WITH l AS (SELECT l_orderkey AS image, l_suppkey % 3 AS block_num, l_linenumber AS line_num, {_OCR_TEXT} AS text, l_partkey FROM lineitem), k AS (SELECT * FROM l WHERE l_partkey % 8 NOT IN (0, 4)),
+b AS (SELECT image, block_num, string_agg(text, ' ' ORDER BY line_num, text) AS text, count(*) AS n FROM k GROUP BY ALL),
+t AS (SELECT *, CASE WHEN starts_with(text, '- ') THEN 'ListItem' WHEN starts_with(text, 'Figure ') THEN 'CaptionLike' WHEN regexp_matches(text, '^[^:]{{1,40}}:\s+\S') THEN 'KeyValueLike' WHEN contains(text, ' | ') THEN 'TableLike'
+  WHEN n <= 1 AND length(text) <= 60 AND NOT ends_with(text, '.') AND regexp_matches(text, '^[A-Z0-9]') THEN 'Heading' ELSE 'Paragraph' END AS kind FROM b)
+SELECT image, string_agg(kind, ',' ORDER BY block_num) AS kinds, string_agg(CASE WHEN kind = 'Heading' THEN '# ' || text ELSE text END, chr(10) || chr(10) ORDER BY block_num) AS markdown FROM t GROUP BY image
+""")
+def ocr_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.lit(1)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("image"), one.alias("page_num"), (F.col("l_suppkey") % 3).alias("block_num"), one.alias("par_num"), F.col("l_linenumber").alias("line_num"), F.expr(_OCR_TEXT).alias("text"), F.lit(90.0).alias("conf")
+    )
+    blocks = documents.ocr_blocks(rows)
+    kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_num", "kind"))), lambda x: x["kind"]), ",")
+    return documents.markdown_preview(blocks).join(blocks.groupBy("image").agg(kinds.alias("kinds")), "image").select("image", "kinds", "markdown")
+
+
 # Check results, made of orders and their items
 
 
