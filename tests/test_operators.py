@@ -10,7 +10,7 @@ from oracle import rows
 from pyspark.sql import functions as F
 
 from pagelode.functions import text as T
-from pagelode.operators import check_results, documents, layout, manifests, metrics, relations
+from pagelode.operators import check_results, documents, layout, manifests, metrics, models, relations
 from pagelode.plans import block_rules, gate_oracle
 from pagelode.schemas import BLOCK_LABELS, LEGACY_LABELS
 from pagelode.streaming import streams
@@ -283,3 +283,54 @@ def test_streams(spark, tmp_path):
     q = streams.changes(streams.parquet_stream(spark, str(tmp_path / "c"), checks.schema)).writeStream.format("memory").queryName("ch").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.status for r in spark.table("ch").collect()) == ["changed", "first", "unchanged"]
+
+
+def test_logistic_is_the_least_of_its_loss(spark):
+    """At the fitted coefficients the gradient of the balanced, penalised loss vanishes."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(m, 1.0, (n, 3)) for m, n in ((0, 60), (1.5, 25), (-1, 15))])
+    y = np.repeat([0, 1, 2], [60, 25, 15])
+    df = spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(y, x)], "label int, values array<double>")
+    model, predict = models.fit_logistic(df)
+    z = (x - x.mean(0)) / x.std(0)
+    w = len(y) / (3 * np.bincount(y)[y])
+    w = w / w.sum()
+    b, c = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    p = np.exp(z @ b.T + c)
+    p /= p.sum(1, keepdims=True)
+    error = w[:, None] * (p - (y[:, None] == np.arange(3)))
+    assert np.abs(error.T @ z + b / len(y)).max() < 1e-4 and np.abs(error.sum(0)).max() < 1e-4
+    got = predict(df).collect()
+    assert np.mean([r.pred == r.label for r in got]) > 0.75
+
+
+def test_stored_models(spark, tmp_path):
+    """A model is made, written, read and used alike; accepted labels come first."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(["a", "b", "c"][i % 3], float(rng.normal(i % 3)), str(rng.normal(-(i % 3))), i % 2 == 0, None) for i in range(90)] + [("a", 1.0, "", None, None)]
+    df = spark.createDataFrame(data, "label string, f double, g string, h boolean, k double").repartition(3)
+    model = models.build_model(df, ["f", "g", "h", "k", "absent"])
+    x = np.array([[f, float(g) if g else 0.0, float(bool(h)), 0.0, 0.0] for _, f, g, h, _ in data])
+    y = np.array([r[0] for r in data])
+    scale = np.where(x.var(0) > 1e-12, x.std(0), 1.0)
+    z = (x - x.mean(0)) / scale
+    for label in "abc":
+        pos, neg = z[y == label].mean(0), z[y != label].mean(0)
+        assert np.allclose(model.weights[label], pos - neg) and np.isclose(model.bias[label], -((pos - neg) * (pos + neg) / 2).sum())
+        raw = z @ (pos - neg) + model.bias[label]
+        assert np.isclose(model.least[label][0], (raw[y == label].min() + raw[y != label].max()) / 2) and model.least[label][1] == 0.5
+    again = models.LinearModel.of_json(model.to_json())
+    assert again == model and model.about["sample_count"] == "91"
+    scored = models.with_model_scores(df, again, BLOCK_LABELS).first()
+    assert scored.model_paragraph == 0.0 and 0 < scored.model_a < 1
+    raws = {k: z @ np.array(model.weights[k]) + model.bias[k] for k in "abc"}
+    order = {(r[0], r[1], r[2]): i for i, r in enumerate(data)}
+    for r in models.classified(df, again).collect():
+        i = order[r.label, r.f, r.g]
+        rank = sorted((not (raws[k][i] >= model.least[k][0] and raws[k][i] >= 0), -raws[k][i], k) for k in "abc")
+        assert r.pred == rank[0][2] and r.score == pytest.approx(raws[r.pred][i]) and r.accepted == (not rank[0][0])
+    assert models.build_model(df.where("false"), ["f"]).labels == []
