@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelode.functions import text as T
 from pagelode.functions.text import PAGE, overlap_ratio
 
 
@@ -78,6 +79,45 @@ def neighbours(regions: DataFrame, page: str = "page_id", group: str = "page_id"
     return out.withColumn("prev_ends_period", ends).withColumn("next_starts_marker", starts).drop("_prev", "_next")
 
 
+#: The columns of feature tables, in order.
+FEATURES_V1 = """sample_id source_dataset source_page_id source_region_id page_no source_label target_label split text notes bbox_x_norm bbox_y_norm bbox_w_norm bbox_h_norm bbox_area_norm bbox_aspect_ratio
+near_top near_bottom near_left near_right center_band page_no_norm text_missing text_len word_count avg_word_len digit_ratio upper_ratio lower_ratio punct_ratio space_ratio alpha_ratio title_token_ratio all_caps_ratio
+starts_bullet starts_numbered ends_colon ends_period contains_url contains_email contains_pipe contains_tabular_hint contains_figure_hint contains_table_hint contains_form_hint contains_page_hint has_long_token
+has_many_digits short_text very_short_text long_text""".split()
+FEATURES_V2 = """feature_set token_count starts_with_alpha_marker no_terminal_period has_terminal_period title_case_short all_caps_short section_number_prefix contains_table_delimiters left_indent_bucket relative_x_bucket
+relative_width_bucket y_position_bucket short_line_with_marker continuation_indent_like list_marker_type prev_gap_norm next_gap_norm prev_same_left_band next_same_left_band prev_width_ratio next_width_ratio
+prev_text_len_norm next_text_len_norm prev_ends_period next_starts_marker""".split()
+
+
+def feature_table(rows: DataFrame, version: int = 2) -> DataFrame:
+    """The feature table of adapter rows (sample_id, source_page_id, page_no, bbox, text, ...), as cells of text: ratios with six places, flags 1 and 0.
+
+    Neighbours are those in (page_no, y, x) order on the same page, so rows are
+    ordered within a page number; ties go by a column ``seq`` if there is one, then by
+    size and text; a page number that is none counts as 0.
+    """
+    parts = F.transform(F.split("bbox", ","), lambda v: F.trim(v).cast("double"))
+    page = F.coalesce(F.expr("try_cast(page_no as double)"), F.lit(0.0))
+    at = rows.withColumn("_b", parts).select(*rows.columns, *[F.get("_b", F.lit(i)).alias(k) for i, k in enumerate("xywh")], page.alias("_page"))
+    order = ("y", "x", *["seq"] * ("seq" in rows.columns), "w", "h", "text", "source_page_id")  # ties by what the rows hold, not by where they lie
+    around = neighbours(at, page="source_page_id", group="_page", order=order)
+    text = T.text_features(F.col("text"))
+    place = T.geometry_features(*[F.col(k) for k in "xywh"], F.col("_page"), text["word_count"], text["list_marker_type"])
+    beside = {f"{s}_{k}{n}": F.col(f"{s}_{k}") for s in ("prev", "next") for k, n in (("gap", "_norm"), ("width_ratio", ""), ("text_len", "_norm"), ("same_left_band", ""))}
+    found = {**text, **place, **beside, "prev_ends_period": F.col("prev_ends_period"), "next_starts_marker": F.col("next_starts_marker"), "ends_period": text["has_terminal_period"], "feature_set": F.lit(f"baseline_v{version}")}
+    given = ("sample_id", "source_dataset", "source_page_id", "source_region_id", "page_no", "source_label", "target_label", "split", "text", "notes")
+    names = [*FEATURES_V1, *FEATURES_V2 * (version == 2)]
+    typed = around.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in given], *[found[c].alias(c) for c in names if c not in given])
+    kinds = dict(typed.dtypes)
+
+    def cell(name: str) -> Column:
+        if kinds[name] == "boolean":
+            return F.when(F.col(name), "1").otherwise("0")
+        return F.format_string("%.6f", F.col(name)) if kinds[name] == "double" else F.col(name).cast("string")
+
+    return typed.select(*[cell(c).alias(c) for c in names])
+
+
 def diverse_sample(pages: DataFrame, sizes: dict[str, int], seed: int = 17) -> DataFrame:
     """split, page_id, step: pages chosen one after another so that rare labels and categories come first.
 

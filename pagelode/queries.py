@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,32 @@ def neighbour_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.neighbours(_regions(spark, sf_dir), order=("y", "x", "seq", "w", "h", "text")).drop("x", "y", "w", "h", "text")
 
 
+_f6 = lambda x: f"printf('%.6f', {x})"
+_b1 = lambda x: f"CASE WHEN {x} THEN '1' ELSE '0' END"
+_GAP = "CASE WHEN {o}y IS NULL THEN 1.0::DOUBLE WHEN {o}y >= y THEN least(greatest(0, {o}y - (y + h)) / 1025, 1) ELSE least(greatest(0, y - ({o}y + {o}h)) / 1025, 1) END"
+
+
+@query(f"""
+WITH r AS ({_REGIONS}), a AS (SELECT *, page_id % 9 AS page_no, seq + page_id * 10 AS pos FROM r),
+o AS (SELECT *, CASE WHEN lag(page_id) OVER w = page_id THEN {{'x': lag(x) OVER w, 'y': lag(y) OVER w, 'w': lag(w) OVER w, 'h': lag(h) OVER w, 't': lag(text) OVER w}} END AS p,
+  CASE WHEN lead(page_id) OVER w = page_id THEN {{'x': lead(x) OVER w, 'y': lead(y) OVER w, 'w': lead(w) OVER w, 'h': lead(h) OVER w, 't': lead(text) OVER w}} END AS n FROM a WINDOW w AS (PARTITION BY page_no ORDER BY y, x, pos, w, h, text)),
+c AS (SELECT *, p.y AS py, p.h AS ph, n.y AS ny, n.h AS nh FROM o)
+SELECT 'r' || page_id || '-' || seq AS sample_id, {_f6('x / 1025')} AS bbox_x_norm, {_f6('w / 1025 * (h / 1025)')} AS bbox_area_norm, {_f6('w / h')} AS bbox_aspect_ratio, {_b1('y / 1025 <= 0.15::DOUBLE')} AS near_top, {_f6('least(page_no / 50.0::DOUBLE, 1)')} AS page_no_norm,
+  length(text)::VARCHAR AS text_len, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::VARCHAR AS word_count, {_f6("(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::DOUBLE / length(text)")} AS upper_ratio, {_b1("ends_with(text, '.')")} AS ends_period,
+  {_b1("NOT ends_with(text, '.')")} AS no_terminal_period, '3' AS list_marker_type, {_f6(_GAP.format(o='p'))} AS prev_gap_norm, {_f6(_GAP.format(o='n'))} AS next_gap_norm, {_f6('coalesce(p.w / w, 0)')} AS prev_width_ratio,
+  {_f6('CASE WHEN n IS NULL THEN 0::DOUBLE ELSE least(length(n.t) / 200.0::DOUBLE, 1) END')} AS next_text_len_norm, {_b1("coalesce(abs(n.x - x) / 1025 <= 0.03::DOUBLE, FALSE)")} AS next_same_left_band, {_b1("coalesce(ends_with(p.t, '.'), FALSE)")} AS prev_ends_period, {_b1('n IS NOT NULL')} AS next_starts_marker FROM c
+""")
+def feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _regions(spark, sf_dir)
+    rows = r.select(
+        F.concat(F.lit("r"), "page_id", F.lit("-"), "seq").alias("sample_id"), F.lit("made").alias("source_dataset"), F.col("page_id").alias("source_page_id"), F.col("seq").alias("source_region_id"), (F.col("page_id") % 9).cast("string").alias("page_no"),
+        F.concat_ws(", ", T.number_text(F.col("x")), T.number_text(F.col("y")), T.number_text(F.col("w")), T.number_text(F.col("h"))).alias("bbox"), F.lit("Text").alias("source_label"), F.lit("paragraph").alias("target_label"), F.lit("train").alias("split"), "text", F.lit(None).cast("string").alias("notes"),
+        (F.col("seq") + F.col("page_id") * 10).alias("seq"),
+    )
+    shown = "sample_id bbox_x_norm bbox_area_norm bbox_aspect_ratio near_top page_no_norm text_len word_count upper_ratio ends_period no_terminal_period list_marker_type prev_gap_norm next_gap_norm prev_width_ratio next_text_len_norm next_same_left_band prev_ends_period next_starts_marker"
+    return layout.feature_table(rows).select(*shown.split())
+
+
 # Block rules
 
 
@@ -434,6 +461,20 @@ def centroid_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.thresholds(_scored(spark, sf_dir)).select(F.col("candidate").cast("long").alias("candidate"), F.round("threshold", 6).alias("threshold"))
 
 
+@query(_CENT + """, t AS (SELECT candidate, (min(score) FILTER (label = candidate) + coalesce(max(score) FILTER (label <> candidate), 0)) / 2 AS least FROM c GROUP BY candidate),
+e AS (SELECT vec_id, candidate, score, 1 / (1 + exp(-score)) AS confidence, least, score >= least AND 1 / (1 + exp(-score)) >= 0.5 AS accepted FROM c JOIN t USING (candidate))
+SELECT vec_id, candidate::VARCHAR AS pred, round(score, 6) AS score, round(confidence, 6) AS confidence, round(least, 6) AS threshold, accepted FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY accepted DESC, score DESC, candidate::VARCHAR) = 1""")
+def accepted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _vectors(spark, sf_dir)
+    scales = models.normalisation(long)
+    model = models.linear_model(scales, models.centroid_weights(long, scales).withColumn("label", F.col("label").cast("string")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+    least = {r["candidate"]: (r["threshold"], 0.5) for r in models.thresholds(models.scores(rows, model, "embedding")).collect()}  # one row a label
+    model = models.LinearModel.of_json(replace(model, least=least).to_json())
+    out = models.classified(rows, model, F.col("embedding"))
+    return out.select("vec_id", "pred", *[F.round(c, 6).alias(c) for c in ("score", "confidence", "threshold")], "accepted")
+
+
 @query()
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("values"))
