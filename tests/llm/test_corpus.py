@@ -317,6 +317,20 @@ def brute_jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_bitmaps_lose_nothing(spark, monkeypatch):
+    rng = random.Random(13)
+    sought = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)] + [0, -1, (1 << 63) - 1, -(1 << 63)]
+    keys = spark.createDataFrame([(k,) for k in sought], "k long")
+    others = spark.createDataFrame([(rng.randrange(-(1 << 63), 1 << 63),) for _ in range(3000)] + [(None,)], "k long")
+    for words, most in ((1 << 20, 30), (4, 3001)):  # a full bitmap parts nothing
+        monkeypatch.setattr(common, "BITMAP_WORDS", words)
+        bits = common.bitmap(keys, "t")
+        assert bits.count() <= words
+        assert common.with_likely(keys, F.col("k"), bits).where("not _likely").count() == 0
+        assert common.with_likely(others, F.col("k"), bits).where("_likely").count() <= most
+    assert common.with_likely(others, F.col("k"), common.bitmap(keys.where("false"), "t")).where("_likely").count() == 0
+
+
 def brute_followers(docs):
     from xxhash import xxh64_intdigest
 
