@@ -44,6 +44,7 @@ from pagelode.llm.common import bitmap, small_batches, stored, texts_in, with_li
 
 RADIUS = 2
 HOT_SHARD = 4096
+EDGES_A_FILE = 50_000
 PAIRS = tuple(combinations(range(4), 2))
 #: Of near copies: the least Jaccard likeness (as a fraction), min-hashes, bands and min-hashes of a band.
 LIKE = (4, 5)
@@ -211,28 +212,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each half-round groups by node with partial sums and joins the smallest
     neighbour back; both tables are written first, so that joins on a crowded
-    node can be split. Stops when a round changes nothing.
+    node can be split, in a file for about ``EDGES_A_FILE`` edges. Stops when a
+    round changes nothing.
     """
 
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stored(df.coalesce(files), name)
+
     def smallest(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+        return kept(pairs.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
 
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     now = stored(edges, "cc-edges")
     before = state(now)
+    files = 1 + before[0] // EDGES_A_FILE
     for _ in range(most_rounds):
         if not before[0]:
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = smallest(both)
         larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        now = stored(larger.distinct(), "cc-large")
+        now = kept(larger.distinct(), "cc-large")
         least = smallest(now)
         joined = now.join(least, "u")
         pulled = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = stored(pulled.distinct(), "cc-small")
+        now = kept(pulled.distinct(), "cc-small")
         after = state(now)
         if after == before:
             break
