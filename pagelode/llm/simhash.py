@@ -19,11 +19,15 @@ bands (``BANDS`` choices of ``ROWS`` of ``HASHES`` min-hashes), and the BK-tree
 each shard is searched with a radius of ``NEAR_RADIUS`` bits. What it finds is
 held against two bits of each min-hash and, where these agree ``AGREE`` times,
 whole sets are compared. Each set of a shard first tries the likest and the most
-copied other one; sets still apart then try whatever else the tree finds, so a
-large group needs no all pairs. A shard of more than ``HOT_SHARD`` sets is cut
-into trees that all its sets search. A pair of likeness 0.8 is missed with a
-probability of 0.02 (bands 0.006, bits 0.01), of 0.85 or more with less than
-0.001, and none below ``LIKE`` is linked.
+copied other one. Sets still apart are then held against whatever else the tree
+finds, within the shard: each brings the hashes by which it differs from the most
+copied set of the shard's largest component, from which the exact likeness of any
+two follows, and a shard returns a spanning forest of the links. So a large group
+needs no table of pairs, however many of them are just not near. A shard of more
+than ``HOT_SHARD`` sets is cut into trees; its sets first search their own, and
+those still apart from the largest component then search all. A pair of
+likeness 0.8 is missed with a probability of 0.02 (bands 0.006, bits 0.01), of
+0.85 or more with less than 0.001, and none below ``LIKE`` is linked.
 
 Defined cases: null and blank texts have fingerprint zero and link like any
 other; rows that share a doc_id each get a row; a null doc_id takes part but is
@@ -347,77 +351,125 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
 _TWOS = int.from_bytes(b"\x55" * (HASHES // 4), "little")
 
 
-def shard_pairs(members: list[tuple], main: int | None, key: int | None = None) -> set[tuple[int, int, int, int]]:
-    """Pairs (a, size of a, b, size of b; a < b) of one shard that may be near, from members (set, size, copies, fp, bits, own, root, keys).
-
-    A BK-tree of the own members' fingerprints gives those within ``NEAR_RADIUS``;
-    of these the two-bit min-hashes must agree ``AGREE`` times and sizes be alike.
-    At first (``main`` is None) each member takes its likest and its most copied
-    one. Later it takes all whose component (``root``) is another; those of the
-    component ``main`` are only searched for, and a pair is given by the smallest
-    of the keys that both have.
-    """
+def _alike(one: tuple, other: tuple) -> int | None:
+    """Of members that begin (set, size, fp, bits): how many two-bit min-hashes differ; None if they cannot be near."""
     part, of = LIKE
+    if one[0] == other[0] or min(one[1], other[1]) * of < max(one[1], other[1]) * part:
+        return None
+    differ = one[3] ^ other[3]
+    apart = ((differ | differ >> 1) & _TWOS).bit_count()
+    return apart if apart <= HASHES - AGREE else None
+
+
+def _tree(members: list[tuple]) -> tuple[BKTree, list[tuple]]:
+    """A BK-tree of the own members' fingerprints, and these members by place."""
     tree, kept = BKTree(), []
     for m in members:
-        if m[5]:
-            tree.add(m[3])
+        if m[4]:
+            tree.add(m[2])
             kept.append(m)
+    return tree, kept
+
+
+def shard_pairs(members: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """Pairs (a, size of a, b, size of b; a < b) of one shard that may be near, from members (set, size, fp, bits, own, copies): each member takes its likest and its most copied one."""
+    tree, kept = _tree(members)
     found = set()
-    for a, size, _, fp, bits, _, root, keys in members:
-        if main is not None and root == main:
-            continue
+    for m in members:
         likest = copied = None
-        for place in tree.find(fp, NEAR_RADIUS):
-            b, other, copies, _, theirs, _, its_root, its_keys = kept[place]
-            if a == b or (main is not None and its_root == root) or min(size, other) * of < max(size, other) * part:
-                continue
-            differ = bits ^ theirs
-            apart = ((differ | differ >> 1) & _TWOS).bit_count()
-            if apart > HASHES - AGREE:
-                continue
-            if main is not None:
-                if min(keys & its_keys) == key:
-                    found.add((a, size, b, other) if a < b else (b, other, a, size))
+        for place in tree.find(m[2], NEAR_RADIUS):
+            it = kept[place]
+            if (apart := _alike(m, it)) is None:
                 continue
+            b, other, copies = it[0], it[1], it[5]
             likest, copied = min(likest or (apart, -copies, b, other), (apart, -copies, b, other)), min(copied or (-copies, b, other), (-copies, b, other))
         for *_, b, other in filter(None, (likest, copied)):
-            found.add((a, size, b, other) if a < b else (b, other, a, size))
+            found.add((m[0], m[1], b, other) if m[0] < b else (b, other, m[0], m[1]))
+    return list(found)
+
+
+def shard_joins(members: list[tuple]) -> list[tuple[int, int]]:
+    """Links (u > v) of one shard that join components, from members (set, size, fp, bits, own, root, main, lost, differ).
+
+    ``differ`` are the hashes (an array) by which a set differs from one set that the
+    whole shard is held against, ``lost`` how many of them the set lacks. Two sets share
+    what that set has and neither lacks, and the hashes that both add; counting the
+    differences that both have gives this exactly. Members of the component ``main``
+    are only searched for; those joined already are not compared again.
+    """
+    part, of = LIKE
+    tree, kept = _tree(members)
+    parent, found, known = {}, [], {}
+
+    def differences(m: tuple) -> frozenset:
+        if m[0] not in known:
+            known[m[0]] = frozenset(m[8].tolist())
+        return known[m[0]]
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for m in members:
+        one, size, fp, _, _, root, main, lost, differ = m
+        if root == main:
+            continue
+        held = size + lost - len(differ)  # what it has of the set that all are held against
+        for place in tree.find(fp, NEAR_RADIUS):
+            it = kept[place]
+            if (a := top(root)) == (b := top(it[5])) or _alike(m, it) is None:
+                continue
+            if (held - it[7] + len(differences(m) & differences(it))) * (part + of) >= (size + it[1]) * part:
+                parent[a] = b
+                found.append((max(one, it[0]), min(one, it[0])))
     return found
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """a, na, b, nb of met (key, _n, set, size, n, fp, bits, root, main, keys), each pair once."""
+def _by_shard(met: DataFrame, more: list[str], judge, names: list[str]) -> DataFrame:
+    """The rows (long columns, as named) that judge gives for the members of each shard of met (key, _n, set, size, fp, bits, and more), each once.
+
+    A shard is cut into parts with a tree each, by set and key, so that others meet
+    in each band; members with a root that is not the ``main`` one go to all of them.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        key, main, members = None, None, []
+        key, members = None, []
+
+        def table(found: list):
+            rows = np.array(found, "<i8").reshape(-1, len(names))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(names))], names)
 
-        def table(found: set):
-            pairs = np.array(list(found), "<i8").reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a", "na", "b", "nb"])
+        def values(column) -> list:
+            if not pa.types.is_list(column.type):
+                return column.to_pylist()
+            flat, ends = column.values.to_numpy(), column.offsets.to_pylist()
+            return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
         for batch in batches:
-            found = set()
-            keys, parts, mains = (batch.column(c).to_pylist() for c in ("key", "part", "main"))
-            rows = zip(*(batch.column(c).to_pylist() for c in ("set", "size", "n", "fp", "bits", "own", "root", "keys")))
-            for k, p, m, (one, size, n, fp, bits, own, root, all_keys) in zip(keys, parts, mains, rows):
+            found = []
+            for k, p, one, size, fp, bits, own, *rest in zip(*(values(batch.column(c)) for c in columns)):
                 if (k, p) != key:
                     if len(members) > 1:
-                        found |= shard_pairs(members, main, key[0])
-                    key, main, members = (k, p), m, []
-                members.append((one, size, n, fp & (1 << 64) - 1, int.from_bytes(bits, "little"), own, root, frozenset(all_keys or ())))
+                        found += judge(members)
+                    key, members = (k, p), []
+                members.append((one, size, fp & (1 << 64) - 1, int.from_bytes(bits, "little"), own, *rest))
             yield table(found)
         if len(members) > 1:
-            yield table(shard_pairs(members, main, key[0]))
+            yield table(judge(members))
 
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.ceil(F.col("_n") / HOT_SHARD)
-    dealt = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("own", F.pmod(F.xxhash64("set"), parts) == F.col("part"))
-    columns = ["key", "part", "own", "set", "size", "n", "fp", "bits", "root", "main", "keys"]
-    return dealt.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "set").mapInArrow(run, "a long, na long, b long, nb long").distinct()
+    mine = F.pmod(F.xxhash64("set", "key"), parts)
+    searched = F.when(F.col("root") == F.col("main"), F.array(mine)).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1)) if "root" in more else F.array(mine)
+    dealt = met.withColumn("part", F.explode(searched)).withColumn("own", mine == F.col("part"))
+    columns = ["key", "part", "set", "size", "fp", "bits", "own", *more]
+    rows = dealt.select(*columns).repartition(n, "key", "part").sortWithinPartitions("key", "part", "set")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -447,24 +499,33 @@ def _near(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -
     return both.where(shared * (part + of) >= (F.col("na") + F.col("nb")) * part).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
+def _differences(docs: DataFrame, classes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """set, main, lost, differ: how each set of members (set, n, root, main) differs from the most copied one that they have of the component main."""
+    sets = _whole_sets(docs, classes, members.select("set").distinct(), shingle)
+    heads = stored(members.where("root = main").groupBy("main").agg(F.max_by("set", F.struct("n", "set")).alias("_head")), "near-heads")
+    both = members.select("set", "main").distinct().join(heads, "main").join(sets, "set").join(sets.select(F.col("set").alias("_head"), F.col("grams").alias("_grams")), "_head")
+    lost = F.array_except("_grams", "grams")
+    return stored(both.select("set", "main", F.size(lost).cast("long").alias("lost"), F.concat(lost, F.array_except("grams", "_grams")).alias("differ")), "near-differences")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, text_hash, root (a set of the row's component): one row for each row of docs."""
     prints = stored(sketches(docs, shingle), "near-prints")
     one = F.first(F.struct("size", "fp", "bits", "keys"))
     classes = stored(prints.groupBy("set").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"), one.alias("s")).select("set", "n", "text_hash", "s.*"), "near-classes")
     keys = stored(classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1"), "near-keys")
-    none, of = F.lit(None).cast("long"), classes.select("set", "size", "n", "fp", "bits")
     banded = with_likely(classes.select("set", F.explode("keys").alias("key")), F.col("key"), bitmap(keys.select("key"), "near-bitmap")).where("_likely").select("set", "key")
     met = stored(banded.join(keys, "key"), "near-met")
-    tried = stored(_pairs(met.join(of, "set").withColumns({"root": none, "main": none, "keys": F.lit(None).cast("array<long>")})), "near-tried")
+    of = classes.select("set", "size", "n", "fp", "bits")
+    tried = stored(_by_shard(met.join(of, "set"), ["n"], shard_pairs, ["a", "na", "b", "nb"]), "near-tried")
     edges = stored(_near(docs, classes, tried, shingle), "near-links")
     comps = stored(components(edges), "near-comps")
     rooted = stored(met.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "near-rooted")
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("_m"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("_k"), F.max_by("root", F.struct("_m", "root")).alias("main")).where("_k > 1").select("key", "main")
-    rest = _pairs(rooted.join(stored(mixed, "near-mixed"), "key").join(classes.select("set", "size", "n", "fp", "bits", "keys"), "set"))
-    more = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-more")
-    found = stored(_near(docs, classes, more, shingle), "near-links")
+    members = stored(rooted.join(stored(mixed, "near-mixed"), "key").join(of, "set"), "near-members")
+    differing = members.join(_differences(docs, classes, members, shingle), ["set", "main"])
+    found = stored(_by_shard(differing, ["root", "main", "lost", "differ"], shard_joins, ["u", "v"]), "near-links")
     if not found.isEmpty():
         comps = stored(components(edges.union(found)), "near-comps")
     rows = prints.join(comps.withColumnRenamed("node", "set"), "set", "left")

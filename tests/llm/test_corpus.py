@@ -288,6 +288,90 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert kept == {i for i in range(len(texts)) if top(i) == i} and len(kept) < len(texts) - 70
 
 
+def crowd_of_near_misses():
+    """A text, 150 near it and 150 just too far from it and from them."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        other = list(base)
+        for place in rng.sample(range(5, 295), 7 if k % 2 else 2):
+            other[place] = f"new{rng.getrandbits(40)}"
+        texts.append(" ".join(other))
+    return texts
+
+
+def firsts_of(texts):
+    """Of each component of near copies the first, by brute force."""
+    sets = [shingles5(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+def test_sets_still_apart_need_no_pairs(spark, monkeypatch):
+    texts, compared, near = crowd_of_near_misses(), [], simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda docs, classes, pairs, shingle: compared.append(pairs.count()) or near(docs, classes, pairs, shingle))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == firsts_of(texts) and 100 < len(kept) < 160
+    assert sum(compared) < 20 * len(texts)  # whole sets are compared for a few pairs of each text, not for all that might be near
+
+
+def test_large_shards_are_not_dealt_to_each_part_whole(spark, monkeypatch):
+    texts, dealt, frame = crowd_of_near_misses()[1::2] + crowd_of_near_misses()[:40:2], [], type(spark.range(0))  # most are near
+    repartition = frame.repartition
+    monkeypatch.setattr(simhash, "HOT_SHARD", 10)
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: ("part" in cols and dealt.append((self.count(), self.select("key", "set").distinct().count()))) or repartition(self, n, *cols))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == firsts_of(texts)
+    (first, members), (rest, still) = dealt
+    assert first == members and still < rest < 2 * still  # shards have up to 17 parts
+
+
+@pytest.mark.parametrize("head", [0, 8, 200])
+def test_joins_of_a_shard_equal_brute_force(head):
+    import numpy as np
+
+    rng = random.Random(22)
+    base = [rng.getrandbits(63) for _ in range(120)]
+    sets = [set(base)]
+    for k in range(80):  # from near to far, some near each other by the same changes
+        start = sets[rng.randrange(len(sets))] if k % 3 else sets[0]
+        sets.append(set(rng.sample(sorted(start), len(start) - rng.randrange(15))) | {rng.getrandbits(63) for _ in range(rng.randrange(15))})
+    against = (sets + [{rng.getrandbits(63) for _ in range(50)}] * 200)[head]
+    members = []
+    for i, s in enumerate(sets):
+        fp, bits, _ = simhash.sketch(np.array(sorted(s), "<u8"))
+        members.append((i, len(s), fp, int.from_bytes(bits, "little"), True, i if i % 4 else 0, 0, len(against - s), np.array(sorted(against ^ s), "<u8")))
+    like = lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4
+
+    def grouped(links):
+        parent = list(range(len(sets)))
+
+        def top(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in [*links, *((i, 0) for i in range(0, len(sets), 4))]:  # those of the main component are joined already
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(i) for i in range(len(sets))]
+
+    links = simhash.shard_joins(members)
+    reach = [(a, b) for a in range(len(sets)) for b in range(a) if (members[a][2] ^ members[b][2]).bit_count() <= simhash.NEAR_RADIUS and simhash._alike(members[a], members[b]) is not None]
+    assert all(u > v and like(u, v) for u, v in links) and grouped(links) == grouped([(a, b) for a, b in reach if like(a, b)])
+    assert len(links) == len({m[5] for m in members}) - len(set(grouped(links))) and 10 < len(links) < len(reach)
+
+
 def test_clean_texts_that_share_an_id_stay(spark):
     rng = random.Random(4)
     a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(4))
